@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +32,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; only where none is named, in local mode, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if "own" not in _OWN:
+        _OWN["own"] = tempfile.mkdtemp(prefix="quernstone-")
+        atexit.register(shutil.rmtree, _OWN["own"], True)
+    return _OWN["own"]
+
+
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder the cluster names in spark.checkpoint.dir.
+    """Cut the lineage by a table written to the shared folder, computed once and read back with its statistics.
 
-    Only where neither the session nor the context names one (local tests) is a temporary folder set.
+    (An RDD checkpoint computes its input twice.) The tables stay until :func:`drop_written` or the end of the process.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quernstone-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(drop_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> None:
+    """Delete the tables that :func:`checkpointed` wrote; results that read them can't be computed afterwards."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the JVM may have ended
+            return
