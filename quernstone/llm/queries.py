@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import leakage, names, packing, split, survivor
+from quernstone.llm import leakage, names, packing, spam, split, survivor
 from quernstone.operators import timestamps
 from quernstone.session import table
 
@@ -78,7 +78,11 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(_leaked(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_voted, p8_packed, p9_found, p9_spans)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_voted, p8_packed, p9_found, p9_spans, p10_found)}
 
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT id AS record_id FROM records WHERE length(trim(raw_text, ' ' || chr(9) || chr(10) || chr(13))) > 1000",
