@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import leakage, names, packing, spam, split, survivor
+from quernstone.llm import leakage, names, packing, pii, spam, split, survivor
 from quernstone.operators import timestamps
 from quernstone.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "records"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "records"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_records(table(spark, sf_dir, "records")).where("n_chunks > 1 and chunk_index = '0'").select("record_id")
 
@@ -82,7 +90,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p7_found, p7_voted, p8_packed, p9_found, p9_spans, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_pieces, p6_found, p7_found, p7_voted, p8_packed, p9_found, p9_spans, p10_found)}
 
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT id AS record_id FROM records WHERE length(trim(raw_text, ' ' || chr(9) || chr(10) || chr(13))) > 1000",
