@@ -14,12 +14,12 @@ their columns; extra columns are ignored.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import NULL_TOKENS, safe_identifier
-from quernstone.operators.snapshots import consecutive
 from quernstone.session import checkpointed
 
 #: Least overlap (Jaccard) of the cells of two text columns that makes one a rename of the other.
@@ -104,51 +104,65 @@ def with_canonical(columns: DataFrame, catalog: DataFrame) -> DataFrame:
     return known.withColumn("canonical", F.coalesce("as_named", "as_shortened")).drop("as_named", "as_shortened")
 
 
-def _matched(gone: DataFrame, came: DataFrame, key: str) -> DataFrame:
-    """file_id, old, new: one partner each among columns of one key, in the order of their names."""
-    order = W.partitionBy("file_id", key).orderBy("column_name")
-    side = lambda df, name: df.where(F.col(key).isNotNull()).select("file_id", key, F.col("column_name").alias(name), F.row_number().over(order).alias("nth"))
-    return side(gone, "old").join(side(came, "new"), ["file_id", key, "nth"]).select("file_id", "old", "new")
+_COLUMN = "struct<column_name:string,column_type:string,squashed:string,canonical:string,skeleton:string>"
+_PAIRS = "array<struct<old:string,new:string,old_type:string,new_type:string>>"
 
 
-def _without(columns: DataFrame, matches: DataFrame, side: str) -> DataFrame:
-    return columns.join(matches.select("file_id", F.col(side).alias("column_name")), ["file_id", "column_name"], "left_anti")
+def match_columns(before: list[dict], later: list[dict]) -> list[tuple[dict | None, dict | None]]:
+    """Columns of two files side by side: equal names, then one partner per key, in the order of names; the rest alone."""
+    gone = {c["column_name"]: c for c in sorted(before, key=lambda c: c["column_name"])}
+    came = {c["column_name"]: c for c in sorted(later, key=lambda c: c["column_name"])}
+    pairs: list[tuple[dict | None, dict | None]] = [(gone.pop(n), came.pop(n)) for n in sorted(gone.keys() & came.keys())]
+    for key in ("squashed", "canonical", "skeleton"):
+        waiting: dict[str, list[dict]] = {}
+        for c in came.values():
+            if c[key]:
+                waiting.setdefault(c[key], []).append(c)
+        for name, c in list(gone.items()):
+            if c[key] and waiting.get(c[key]):
+                partner = waiting[c[key]].pop(0)
+                del gone[name], came[partner["column_name"]]
+                pairs.append((c, partner))
+    return pairs + [(c, None) for c in gone.values()] + [(None, c) for c in came.values()]
 
 
 def compare_files(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """file_id, feed_code, prev_id, old, new, old_type, new_type: the columns of each file beside those of the file before it."""
-    schemas = checkpointed(with_canonical(file_schemas(files, rows), catalog))
-    linked = consecutive(files).where("prev_id is not null")
-    later = schemas.join(linked, "file_id")
-    before = schemas.withColumnRenamed("file_id", "prev_id").join(linked, "prev_id")
-    same = later.select("file_id", F.col("column_name").alias("old"), F.col("column_name").alias("new")).join(before.select("file_id", F.col("column_name").alias("old")), ["file_id", "old"], "left_semi")
-    came = _without(later, same, "new")
-    gone = _without(before, same, "old")
-    matches = same
-    for key in ("squashed", "canonical", "skeleton"):
-        found = _matched(gone, came, key)
-        gone, came, matches = _without(gone, found, "old"), _without(came, found, "new"), matches.unionByName(found)
-    by_value = _value_matches(gone, came)
-    matches = matches.unionByName(by_value)
-    left = _without(gone, by_value, "old").select("file_id", F.col("column_name").alias("old"), F.lit(None).cast("string").alias("new"))
-    new = _without(came, by_value, "new").select("file_id", F.lit(None).cast("string").alias("old"), F.col("column_name").alias("new"))
-    pairs = matches.unionByName(left).unionByName(new).join(linked, "file_id")
-    types = schemas.select("file_id", "column_name", "column_type")
-    with_old = pairs.join(types.select(F.col("file_id").alias("prev_id"), F.col("column_name").alias("old"), F.col("column_type").alias("old_type")), ["prev_id", "old"], "left")
-    return with_old.join(types.select("file_id", F.col("column_name").alias("new"), F.col("column_type").alias("new_type")), ["file_id", "new"], "left").select(
-        "file_id", "feed_code", "prev_id", "old", "new", "old_type", "new_type"
-    )
+    """file_id, feed_code, prev_id, old, new, old_type, new_type: the columns of each file beside those of the file before it.
 
-
-def _value_matches(gone: DataFrame, came: DataFrame) -> DataFrame:
-    """Text columns of one file pair whose cells overlap; each takes the partner with the largest overlap."""
-    text = F.col("column_type") == "text"
-    a = gone.where(text).select("file_id", F.col("column_name").alias("old"), F.col("sketch").alias("a"))
-    b = came.where(text).select("file_id", F.col("column_name").alias("new"), F.col("sketch").alias("b"))
-    both = F.theta_sketch_estimate(F.theta_intersection("a", "b")) / F.theta_sketch_estimate(F.theta_union("a", "b"))
-    scored = a.join(b, "file_id").select("file_id", "old", "new", both.alias("overlap")).where(F.col("overlap") >= VALUE_OVERLAP)
+    The columns of one file are few; they are matched as one row per file. Only what then stands alone is compared by value.
+    """
+    schemas = checkpointed(with_canonical(file_schemas(files, rows), catalog))
+    listed = schemas.groupBy("file_id").agg(F.collect_list(F.struct("column_name", "column_type", "squashed", "canonical", "skeleton").cast(_COLUMN)).alias("columns"))
+    order = W.partitionBy("feed_code").orderBy("delivered_at", "file_id")
+    placed = files.select("file_id", "feed_code", "delivered_at").join(listed, "file_id", "left").withColumn("columns", F.coalesce("columns", F.array().cast(f"array<{_COLUMN}>")))
+    beside = placed.select("file_id", "feed_code", F.lag("file_id").over(order).alias("prev_id"), "columns", F.lag("columns").over(order).alias("before")).where("prev_id is not null")
+
+    @F.pandas_udf(_PAIRS)
+    def match(before: pd.Series, later: pd.Series) -> pd.Series:
+        get = lambda c, k: c[k] if c is not None else None
+        both = [match_columns(list(a), list(b)) for a, b in zip(before, later)]
+        return pd.Series([[{"old": get(a, "column_name"), "new": get(b, "column_name"), "old_type": get(a, "column_type"), "new_type": get(b, "column_type")} for a, b in ps] for ps in both])
+
+    compared = checkpointed(beside.select("file_id", "feed_code", "prev_id", F.inline(match("before", "columns"))))
+    by_value = checkpointed(_value_matches(compared, schemas))
+    matched = by_value.select("file_id", "old", "new").withColumn("sides", F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("name")), F.struct(F.lit("new").alias("side"), F.col("new").alias("name"))))
+    taken = matched.select("file_id", F.inline("sides"))
+    named = compared.withColumn("side", F.when(F.col("new").isNull(), "old").when(F.col("old").isNull(), "new")).withColumn("name", F.coalesce("new", "old"))
+    rest = named.join(taken, ["file_id", "side", "name"], "left_anti").select(*compared.columns)
+    return rest.unionByName(by_value.select(*compared.columns))
+
+
+def _value_matches(compared: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Lone text columns of one file pair whose cells overlap; each takes the partner with the largest overlap."""
+    sketches = schemas.select("file_id", "column_name", "sketch")
+    gone = compared.where("new is null and old_type = 'text'").select("file_id", "feed_code", "prev_id", "old", "old_type")
+    came = compared.where("old is null and new_type = 'text'").select("file_id", "new", "new_type")
+    pairs = gone.join(came, "file_id").join(sketches.select(F.col("file_id").alias("prev_id"), F.col("column_name").alias("old"), F.col("sketch").alias("a")), ["prev_id", "old"])
+    both = pairs.join(sketches.select("file_id", F.col("column_name").alias("new"), F.col("sketch").alias("b")), ["file_id", "new"])
+    overlap = F.theta_sketch_estimate(F.theta_intersection("a", "b")) / F.theta_sketch_estimate(F.theta_union("a", "b"))
+    scored = both.withColumn("overlap", overlap).where(F.col("overlap") >= VALUE_OVERLAP)
     best = lambda side, other: F.row_number().over(W.partitionBy("file_id", side).orderBy(F.desc("overlap"), other))
-    return scored.withColumn("x", best("old", "new")).withColumn("y", best("new", "old")).where("x = 1 and y = 1").select("file_id", "old", "new")
+    return scored.withColumn("x", best("old", "new")).withColumn("y", best("new", "old")).where("x = 1 and y = 1").select("file_id", "feed_code", "prev_id", "old", "new", "old_type", "new_type")
 
 
 def schema_changes(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
