@@ -47,18 +47,22 @@ def complete_files(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def layouts(files: DataFrame) -> DataFrame:
-    """file_id, columns (name and cell position, sorted by name, the last of equal names), key_at (cell positions of the key)."""
+    """file_id, columns (name and cell position of all but the key, sorted, the last of equal names), key_at (positions of the key)."""
     placed = files.select("file_id", "natural_key", F.posexplode("headers").alias("i", "header")).withColumn("name", safe_identifier(F.col("header")))
     kept = placed.where("name is not null").groupBy("file_id", "name").agg(F.max(F.col("i") + 1).alias("at"))
     columns = kept.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("name", "at"))).alias("columns"))
     keyed = files.select("file_id", "natural_key").join(columns, "file_id", "left")
-    return keyed.select("file_id", "columns", F.transform("natural_key", lambda k: F.coalesce(F.try_element_at(F.transform(F.filter("columns", lambda c: c["name"] == k), lambda c: c["at"]), F.lit(1)), F.lit(0))).alias("key_at"))
+    place = lambda k: F.try_element_at(F.transform(F.filter("columns", lambda c: c["name"] == k), lambda c: c["at"]), F.lit(1))
+    at = F.transform(F.coalesce("natural_key", F.array().cast("array<string>")), lambda k: F.coalesce(place(k), F.lit(0)))
+    rest = F.filter("columns", lambda c: ~F.array_contains("key_at", c["at"]))
+    return keyed.select("file_id", "columns", at.alias("key_at")).select("file_id", rest.alias("columns"), "key_at")
 
 
 def keyed_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
     """file_id, row_key, key_hash, digest: one row per file and natural key. ``files`` has headers and natural_key.
 
-    Names and positions are worked out once per file; empty values are left out of the digest, as null equals empty.
+    Names and positions are worked out once per file. Key columns are no part of the digest: a key in other case is the
+    same key. Empty values are left out, as null equals empty.
     """
     joined = rows.select("file_id", "row_no", "_id", "cells").join(layouts(files), "file_id")
     cell = lambda at: F.when(at > 0, _trim(F.try_element_at(F.col("cells"), F.greatest(at, F.lit(1)))))

@@ -6,6 +6,7 @@ import re
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def rows_within(spark: SparkSession, df: DataFrame, seconds: float = TIMEOUT_S)
 def run(spark: SparkSession, text: str, max_rows: int = MAX_ROWS, seconds: float = TIMEOUT_S) -> list:
     try:
         return rows_within(spark, checked(spark, text, max_rows), seconds)
-    except Rejected:
+    except (Rejected, AnalysisException):
         return []
 
 

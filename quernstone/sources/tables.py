@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """``root/v-<id>`` folders and a ``_current`` file; a version being read is never overwritten."""
+    """``root/v-<id>`` folders and a ``current.txt``; a version being read is never overwritten."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,9 +22,9 @@ class VersionedTable:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _pointer(self) -> str | None:
-        if not self.fs.exists(self._path("_current")):
+        if not self.fs.exists(self._path("current.txt")):
             return None
-        return self.spark.read.option("wholetext", True).text(f"{self.root}/_current").first()[0].strip()
+        return self.spark.read.option("wholetext", True).text(f"{self.root}/current.txt").first()[0].strip()
 
     def read(self) -> DataFrame | None:
         current = self._pointer()
@@ -46,12 +46,12 @@ class VersionedTable:
             df.write.mode("append").parquet(f"{self.root}/{current}")
 
     def _point(self, version: str) -> None:
-        fresh = self._path(f"_next-{uuid.uuid4().hex}")
+        fresh = self._path(f"next-{uuid.uuid4().hex}")
         out = self.fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
-        self.fs.delete(self._path("_current"), False)
-        self.fs.rename(fresh, self._path("_current"))
+        self.fs.delete(self._path("current.txt"), False)
+        self.fs.rename(fresh, self._path("current.txt"))
 
 
 AUDIT_SCHEMA = "timestamp string, query string, route string, sql string, source_ids array<string>, latency_ms double, error string"
