@@ -31,7 +31,7 @@ _BLANKS = " \t\r\n"
 def known_id(col: Column) -> Column:
     """The trimmed id, or null where it means "not known" (also runs of one digit such as 0000 or P999999999)."""
     trimmed = F.btrim(col, F.lit(_BLANKS))
-    return F.when(~F.upper(trimmed).isin(*UNKNOWN_IDS) & ~trimmed.rlike(r"^[A-Za-z]{0,3}-?(\d)\1*$"), trimmed)
+    return F.when(~F.upper(trimmed).isin(*UNKNOWN_IDS) & ~trimmed.rlike(r"^[A-Za-z]{0,3}-?(\d)\1{3,}$"), trimmed)
 
 
 def usable_phone(col: Column) -> Column:
