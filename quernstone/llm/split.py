@@ -122,6 +122,8 @@ def split_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in pieces(t, size, overlap)] if t is not None else [])
 
+    # else a filter on the pieces would run the function once more
+    cut = cut.asNondeterministic()
     trimmed = F.btrim(text, F.lit(BLANKS))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(trimmed).alias("end"), trimmed.alias("text"))).cast(_PIECE)
     # only long texts reach Python: the others are null there
