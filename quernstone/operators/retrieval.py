@@ -48,6 +48,67 @@ def bm25(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
+def term_weights(posted: DataFrame, documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, float]:
+    """(term, idf) of wanted terms by statistics of all documents, and the mean length of a document."""
+    size = documents.agg(F.count("*").alias("n")).first()["n"]
+    terms = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    raw = terms.withColumn("idf", F.log(F.lit(size) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    total = raw.agg(F.avg("idf").alias("mean"), F.sum("cf").alias("total")).first()
+    mean = total["mean"] or 0.0
+    kept = raw.join(wanted, "term", "left_semi").select("term", F.when(F.col("idf") < 0, mean * EPSILON).otherwise(F.col("idf")).alias("idf"))
+    return kept, (total["total"] or 0) / max(size, 1)
+
+
+def bm25_top(documents: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best of each stated query, queries taken in blocks.
+
+    The scores of :func:`bm25`, without a row per query word and posting: the weights of a block's words travel with the
+    tasks (terms x queries), each batch of documents is scored as a product, and only its k best per query are shuffled.
+    """
+    asked = queries.where("text is not null").select("query_id", F.explode(words(F.lower("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    weights, avgdl = term_weights(postings(documents), documents, asked.select("term").distinct())
+    rows = [tuple(r) for r in asked.join(weights, "term").select("query_id", "term", F.col("qn") * F.col("idf")).orderBy("query_id", "term").toLocalIterator()]
+    ids = sorted({r[0] for r in rows})
+    result = None
+    for at in range(0, max(1, len(ids)), block):
+        chosen = {q: i for i, q in enumerate(ids[at : at + block])}
+        own = [r for r in rows if r[0] in chosen]
+        place = {t: i for i, t in enumerate(sorted({r[1] for r in own}))}
+        matrix = np.zeros((len(place), len(chosen)))
+        for q, t, w in own:
+            matrix[place[t], chosen[q]] = w
+
+        def run(batches: Iterator[pd.DataFrame], order: np.ndarray = np.array(list(chosen), "int64"), place: dict = place, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for start in range(0, len(pdf), 256):
+                    part = pdf.iloc[start : start + 256]
+                    docs, hits, shares = [], [], []
+                    for doc_id, text in zip(part["doc_id"], part["text"]):
+                        tokens = text.lower().split() if isinstance(text, str) else []
+                        counts: dict[int, int] = {}
+                        for t in tokens:
+                            if (p := place.get(t)) is not None:
+                                counts[p] = counts.get(p, 0) + 1
+                        if counts:
+                            tf = np.fromiter(counts.values(), "float64")
+                            docs.append(doc_id)
+                            hits.append(np.fromiter(counts, "int64"))
+                            shares.append(tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl)))
+                    if not docs or not len(order):
+                        continue
+                    starts = np.concatenate(([0], np.cumsum([len(h) for h in hits])[:-1]))
+                    score = np.add.reduceat(matrix[np.concatenate(hits)] * np.concatenate(shares)[:, None], starts, axis=0).T
+                    ident = np.array(docs)
+                    best = np.lexsort((np.broadcast_to(ident, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                    q = np.repeat(np.arange(len(order)), best.shape[1])
+                    found = pd.DataFrame({"query_id": order[q], "doc_id": ident[best.ravel()], "score": score[q, best.ravel()]})
+                    yield found[found["score"] > 0]
+
+        scored = documents.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
+        result = scored if result is None else result.unionByName(scored)
+    return top(result.withColumn("score", F.round("score", 9)), k)
+
+
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "doc_id", by: str = "query_id") -> DataFrame:
     """The k best of each query with rank from 0 (Spark keeps k rows per partition before the shuffle)."""
     order = W.partitionBy(by).orderBy(F.desc(score), tie)

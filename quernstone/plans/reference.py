@@ -440,8 +440,7 @@ b AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id O
 
 
 def _lexical(t, k: int) -> DataFrame:
-    scored = retrieval.bm25(t("documents").select("doc_id", "text"), _asked(t)).withColumn("score", F.round("score", 9))
-    return retrieval.top(scored, k)
+    return retrieval.bm25_top(t("documents").select("doc_id", "text"), _asked(t), k)
 
 
 @query(_SQL_BM25 + " SELECT query_id, doc_id, round(score, 4) AS score, rank FROM b WHERE rank < 20")

@@ -29,6 +29,10 @@ def test_bm25(spark):
     got = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(docs, asked).collect()}
     want = {(1, i): v for i, v in bm25_plain(DOCS, "cat cat the").items()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    best = {(r.query_id, r.doc_id): (r.rank, r.score) for r in retrieval.bm25_top(docs, asked, 2).collect()}
+    ranked_plain = sorted(want, key=lambda k: (-want[k], k))[:2]
+    assert {k: v[0] for k, v in best.items()} == {k: i for i, k in enumerate(ranked_plain)} and all(best[k][1] == pytest.approx(want[k], abs=1e-8) for k in best)
+    assert retrieval.bm25_top(docs.limit(0), asked, 2).collect() == []
 
 
 def test_nearest(spark):
