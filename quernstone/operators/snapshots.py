@@ -1,7 +1,8 @@
 """What changed between consecutive full snapshots, by subtraction of invertible Bloom lookup tables.
 
-Every complete file is summarised per hash bucket in a table of cells; a row enters three cells with its key hash,
-value digest and a check. The table of a file minus that of its predecessor keeps only rows that differ. Those are
+Every complete file is summarised per hash bucket in a table of cells; a row enters three cells, chosen by key hash and
+value digest together, with both and a check. (Chosen by the key alone, the two versions of a changed row would share
+all their cells and never peel.) The table of a file minus that of its predecessor keeps only rows that differ. Those are
 peeled cell by cell; a bucket that does not peel to nothing is built again with four times the cells, and after
 ``MAX_ROUNDS`` it is compared row by row instead. Recovered hashes are verified by joining them to the rows they
 came from, key hash and digest, and classified by sign.
@@ -85,7 +86,7 @@ def _long(n: int) -> Column:
 def cell_table(rows: DataFrame, cells: int) -> DataFrame:
     """rows: file_id, bucket, key_hash, digest -> one row per file, bucket and non-empty cell."""
     third = cells // 3
-    places = F.array(*[(F.pmod(F.xxhash64("key_hash", _long(s)), _long(third)) + i * third).cast("int") for i, s in enumerate(_SALT_CELL)])
+    places = F.array(*[(F.pmod(F.xxhash64("key_hash", "digest", _long(s)), _long(third)) + i * third).cast("int") for i, s in enumerate(_SALT_CELL)])
     return (
         rows.select("file_id", "bucket", "key_hash", "digest", F.xxhash64("key_hash", "digest", _long(_SALT_CHECK)).alias("check"), F.explode(places).alias("cell"))
         .groupBy("file_id", "bucket", "cell")
@@ -126,7 +127,7 @@ def peel(n: dict[int, int], keys: dict[int, int], digests: dict[int, int], check
         key, digest, check = keys[c], digests[c], checks[c]
         found.append((key, digest, sign))
         for i, s in enumerate(_SALT_CELL):
-            p = _signed(_chain(key, s)) % third + i * third
+            p = _signed(_chain(key, digest, s)) % third + i * third
             n[p] = n.get(p, 0) - sign
             keys[p], digests[p], checks[p] = keys.get(p, 0) ^ key, digests.get(p, 0) ^ digest, checks.get(p, 0) ^ check
             ready.append(p)
