@@ -223,7 +223,9 @@ def neighbours(tokens: DataFrame, radius: int = RADIUS) -> DataFrame:
         pdf = pdf.sort_values("token")
         return pd.DataFrame(list(pairs_in_cell(pdf["token"].tolist(), pdf["home"].tolist(), radius)), columns=["a", "b"])
 
-    cells = long.select("token").repartition("token").mapInPandas(assign, "cell int, token string, home boolean")
+    # a given number of tasks: the distances cost CPU, not bytes, and would else be merged into one task
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = long.select("token").repartition(tasks, "token").mapInPandas(assign, "cell int, token string, home boolean")
     return cells.groupBy("cell").applyInPandas(join, "a string, b string").distinct()
 
 
@@ -371,7 +373,21 @@ def entities(links: DataFrame) -> DataFrame:
 
 
 def variants(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
-    """id_a, id_b: rows of one entity whose name texts differ, id_a < id_b."""
-    members = entities(link(rows, strong, weak)).join(rows.select("id", "name"), "id")
-    a, b = (members.select("entity", F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}")) for s in "ab")
-    return a.join(b, "entity").where("id_a < id_b and name_a != name_b").select("id_a", "id_b")
+    """id_a, id_b: rows of one entity whose name texts differ, id_a < id_b.
+
+    Rows equal in name and evidence are linked as one; pairs are formed between the different names of an entity and
+    only then between their rows, so that many copies of one row meet nothing but what the result holds.
+    """
+    columns = ["name", *strong, *weak]
+    kind = F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.coalesce(c, F.lit("")).alias("v")) for c in columns])
+    marked = rows.select("id", *columns).withColumn("kind", kind)
+    alike = marked.groupBy("kind").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in columns])
+    linked = entities(link(alike, strong, weak))
+    named = checkpointed(linked.join(alike.select("id", "kind", "name"), "id").select("entity", "kind", "name"))
+    members = named.join(marked.select("id", "kind"), "kind").select("entity", "name", "id")
+    spelled = named.select("entity", "name").distinct()
+    a, b = (spelled.select("entity", F.col("name").alias(f"name_{s}")) for s in "ab")
+    pairs = a.join(b, "entity").where("name_a < name_b")
+    first = pairs.join(members.select("entity", F.col("name").alias("name_a"), F.col("id").alias("x")), ["entity", "name_a"])
+    both = first.join(members.select("entity", F.col("name").alias("name_b"), F.col("id").alias("y")), ["entity", "name_b"])
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
