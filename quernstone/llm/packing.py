@@ -154,7 +154,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = T
     # a full piece is a sequence of its own; the rest is dealt into groups
     dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         pdf = pdf.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
         sizes = pdf["n_tokens"].tolist()
         bins = pack(sizes, capacity)
