@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="quernstone-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/quernstone.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(path)  # the driver serves it to the executors
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; only where none is named, in local mode, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
