@@ -106,7 +106,7 @@ def bm25_top(documents: DataFrame, queries: DataFrame, k: int, block: int = 256)
 
         scored = documents.select("doc_id", "text").mapInPandas(run, "query_id long, doc_id long, score double")
         result = scored if result is None else result.unionByName(scored)
-    return top(result.withColumn("score", F.round("score", 9)), k)
+    return top(result.withColumn("_rounded", F.round("score", 9)), k, "_rounded").drop("_rounded")
 
 
 def top(scored: DataFrame, k: int, score: str = "score", tie: str = "doc_id", by: str = "query_id") -> DataFrame:
