@@ -45,6 +45,8 @@ BAND = 12
 MARGIN = 40
 #: Seeds farther apart than this in a document belong to different clusters.
 REACH = 60
+#: Words of a document that are aligned at a time.
+BLOCK = 2000
 
 _WORD = re.compile(r"[^\W_]+(?:(?:['’]|[-‐]\s*\n[>\s]*|(?<=\d)[.,](?=\d))[^\W_]+)*")
 _BROKEN = re.compile(r"[-‐]\s*\n")
@@ -136,8 +138,9 @@ class Items:
         return np.array(out, "int64")
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int, int, int]:
-    """Best local alignment: score, first and last item word, first and last window word (inclusive)."""
+def align(item: np.ndarray, window: np.ndarray, ends_from: int = 0) -> tuple[float, int, int, int, int]:
+    """Best local alignment that ends at window word ``ends_from`` or later: score, first and last item word, first and last
+    window word (inclusive)."""
     n, m = len(item), len(window)
     score = np.zeros((n + 1, m + 1))
     steps = np.arange(m + 1) * PENALTY
@@ -147,7 +150,9 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int, int, i
         # words added in the document: a running maximum of (value + position * penalty)
         full = np.concatenate(([0.0], row)) + steps
         score[i] = np.maximum(np.maximum.accumulate(full) - steps, 0)
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    ends = score[:, ends_from + 1 :]
+    i, j = np.unravel_index(int(ends.argmax()), ends.shape)
+    j += ends_from + 1
     best, end_i, end_j = float(score[i, j]), int(i) - 1, int(j) - 1
     first_i, first_j = end_i, end_j
     while i > 0 and j > 0 and score[i, j] > 0:
@@ -174,6 +179,63 @@ def covered(seeds: list[tuple[int, int]]) -> int:
     return max(map(len, bands.values()))
 
 
+class Seeds:
+    """Seeds of an item in a cluster, by document word, with the item words that those of each band cover (``covered``)."""
+
+    def __init__(self, seeds: list[tuple[int, int]]):
+        self.at: dict[int, list[int]] = defaultdict(list)
+        self.words: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        for d, k in seeds:
+            self.at[d].append(k)
+            for words in self._bands(d, k):
+                for w in range(k, k + SEED):
+                    words[w] += 1
+        self.full = {id(words) for words in self.words.values() if len(words) >= LEAST_COVER}
+
+    def _bands(self, d: int, k: int) -> tuple[dict[int, int], dict[int, int]]:
+        b = (d - k) // BAND
+        return self.words[b], self.words[b + 1]
+
+    def drop(self, first: int, last: int) -> None:
+        """Without the seeds that hold one of these document words."""
+        for d in range(first - SEED + 1, last + 1):
+            for k in self.at.pop(d, ()):
+                for words in self._bands(d, k):
+                    for w in range(k, k + SEED):
+                        words[w] -= 1
+                        if not words[w]:
+                            del words[w]
+                    if len(words) < LEAST_COVER:
+                        self.full.discard(id(words))
+
+
+class Window:
+    """Best local alignments of an item with a stretch of a document from which words are taken one passage after another.
+
+    Aligned in blocks of ``BLOCK`` words where alignments end, each read from as far before it as one can reach; so only
+    blocks near the words taken are aligned again.
+    """
+
+    def __init__(self, item: np.ndarray, words: np.ndarray):
+        self.item, self.words = item, words
+        # a positive score has at most one fitting word per item word, and fewer other words than these pay for
+        self.reach = len(item) + int(len(item) / PENALTY) + 1
+        self.known: dict[int, tuple[float, int, int, int, int]] = {}
+
+    def best(self) -> tuple[float, int, int, int, int]:
+        for at in range(0, len(self.words), BLOCK):
+            if at not in self.known:
+                low = max(0, at - self.reach)
+                score, i0, i1, d0, d1 = align(self.item, self.words[low : at + BLOCK], at - low)
+                self.known[at] = score, i0, i1, low + d0, low + d1
+        return min(self.known.values(), key=lambda a: (-a[0], a[2], a[4]))
+
+    def take(self, first: int, last: int) -> None:
+        self.words[first : last + 1] = 1
+        for at in range(first // BLOCK * BLOCK, last + self.reach + 1, BLOCK):
+            self.known.pop(at, None)
+
+
 def passages(items: Items, document: np.ndarray, hits: dict[int, list[tuple[int, int]]]) -> list[tuple[int, float, int, int, int]]:
     """(item, score, item words spanned, first and last document word) of the passages that count.
 
@@ -186,22 +248,28 @@ def passages(items: Items, document: np.ndarray, hits: dict[int, list[tuple[int,
         cuts = [0, *(k for k in range(1, len(at)) if at[k] - at[k - 1] > REACH), len(at)]
         for a, b in zip(cuts, cuts[1:]):
             own = [p for p in seeds if at[a] <= p[0] <= at[b - 1]]
-            if (cover := covered(own)) >= LEAST_COVER:
+            if len(own) * SEED >= LEAST_COVER and (cover := covered(own)) >= LEAST_COVER:
                 clusters.append((-cover, items.ids[i], i, at[a], own))
     clusters.sort(key=lambda c: c[:4])
     free = np.ones(len(document), bool)
     found = []
     for _, _, i, _, own in clusters:
-        for _ in range(3):  # a passage may be quoted in parts
-            own = [p for p in own if free[p[0] : p[0] + SEED].all()]
-            if not own or covered(own) < LEAST_COVER:
-                break
-            low, high = max(0, min(d for d, _ in own) - MARGIN), min(len(document), max(d for d, _ in own) + SEED + MARGIN)
-            score, i0, i1, d0, d1 = align(items.symbols[i], np.where(free[low:high], document[low:high], 1))
-            if score < LEAST_SCORE or i1 - i0 + 1 < LEAST_SPAN:
+        own = [p for p in own if free[p[0] : p[0] + SEED].all()]
+        if not own:
+            continue
+        low, high = max(0, min(d for d, _ in own) - MARGIN), min(len(document), max(d for d, _ in own) + SEED + MARGIN)
+        left = Seeds(own)
+        window = Window(items.symbols[i], np.where(free[low:high], document[low:high], 1))
+        while left.full:
+            score, i0, i1, d0, d1 = window.best()
+            if score < LEAST_SCORE:
                 break
-            found.append((i, score, i1 - i0 + 1, low + d0, low + d1))
-            free[low + d0 : low + d1 + 1] = False
+            if i1 - i0 + 1 >= LEAST_SPAN:
+                found.append((i, score, i1 - i0 + 1, low + d0, low + d1))
+                free[low + d0 : low + d1 + 1] = False
+            # words of a quotation too short to count stay free for other items
+            window.take(d0, d1)
+            left.drop(low + d0, low + d1)
     return found
 
 

@@ -104,6 +104,31 @@ def test_spans(spark):
     assert [text[a:b] for a, b in spans] == [ITEM.split("\n")[0].rstrip("?")]
 
 
+def aligned(item, document):
+    """(first, last) document word of each passage of one item that counts."""
+    items = leakage.Items.of([(1, " ".join(item))])
+    return sorted((first, last) for *_, first, last in leakage.search_shard(items, [items.encode(" ".join(document))]))
+
+
+def test_every_copy_of_a_passage(spark):
+    item, gap = [f"w{k}" for k in range(30)], [f"x{k}" for k in range(10)]
+    for n in (3, 4, 9, 200):  # the last in several blocks
+        assert aligned(item, (item + gap) * n) == [(k * 40, k * 40 + 29) for k in range(n)]
+    d = spark.createDataFrame([(1, " ".join((item + gap) * 7))], "doc_id long, text string")
+    e = spark.createDataFrame([(1, " ".join(item))], "item_id long, item_text string")
+    assert len(leakage.removal_spans(leakage.leaked_passages(d, e)).first()["spans"]) == 7
+
+
+def test_short_quotation_hides_no_passage():
+    item = [f"w{k}" for k in range(60)]
+    altered = [f"y{k}" if k in (35, 40, 45, 50) else f"w{k}" for k in range(31, 55)]
+    gap = [f"x{k}" for k in range(30)]
+    assert aligned(item, item[:15]) == []
+    assert aligned(item, altered) == [(0, 23)]
+    assert aligned(item, item[:15] + gap + altered) == [(45, 68)]
+    assert aligned(item, altered + gap + item[:15]) == [(0, 23)]
+
+
 PROSE = "The patient was seen on Monday and the wound is dry. She walks with a cane and has no pain at rest. We will see her again in two weeks if the dose of warfarin is well tolerated. "
 
 
