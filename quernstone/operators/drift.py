@@ -4,7 +4,7 @@ Rows are read as path-value pairs with raw types; types are counted per file and
 and a file's schema is compared with that of the file before it in its feed. Columns that left and columns that came
 are matched as renames by, in this order: the same core name (without ``fld_``, ``_v2`` and underscores), the same canonical
 column in the catalog's mappings, the same consonants, and - for text columns only - overlapping values, estimated
-from theta sketches of the cells. Only schemas, one short row per file and column, meet in a window.
+from theta sketches of the cells. Only schemas, one short row per file and column, meet in a window or group.
 
 Odd input: blank cells and null words are empty; a column without any non-empty value has no type and is never
 ``retyped``; headers without letters or digits are ignored; headers that sanitise alike are one column; rows staged
@@ -14,12 +14,16 @@ their columns; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone.functions.casts import safe_numeric
 from quernstone.functions.text import NULL_TOKENS, safe_identifier
+from quernstone.operators import timestamps
 from quernstone.session import checkpointed
 
 #: Least overlap (Jaccard) of the cells of two text columns that makes one a rename of the other.
@@ -179,26 +183,129 @@ def schema_changes(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> Dat
     return compared.select("file_id", F.explode(kinds).alias("change_kind"), F.coalesce("new", "old").alias("column_name"))
 
 
-def consistent_rows(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every cell of every file in its feed's one consistent table, with failed casts.
+_NAMED = "file_id long, column_name string, name string"
+
+
+def feed_columns(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """file_id, column_name, name: the column of its feed's one table that each column of a file goes to.
 
-    feed_code, file_id, row_no, column_name (canonical where the catalog knows one, else the core name), column_type
-    (the most frequent type of the column in its feed), value (trimmed, null words to null), cast_failed.
+    Matches of ``compare_files`` are carried from file to file. A column that comes without a match goes where its name
+    went before, else its squashed name, canonical column or skeleton; two columns of one file never go to the same one.
+    A column is named by the catalog's canonical of most of its files, else by its most frequent core name; the second of
+    a name gets ``_2``. The schemas of one feed, a short row per file and column, are worked on as a group.
     """
-    values = with_canonical(path_values(files, rows), catalog).join(files.select("file_id", "feed_code"), "file_id")
-    values = values.withColumn("column_name", F.coalesce("canonical", core_name(F.col("column_name"))))
+    pairs = compare_files(files, rows, catalog).where("new is not null").select("file_id", F.col("new").alias("column_name"), "old")
+    columns = files.select("feed_code", "delivered_at", "file_id", F.explode(F.array_distinct(F.transform("headers", safe_identifier))).alias("column_name")).where("column_name is not null")
+    known = with_canonical(columns.join(pairs, ["file_id", "column_name"], "left"), catalog).withColumn("core", core_name(F.col("column_name")))
+
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["delivered_at", "file_id", "column_name"], na_position="first")
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        seen: dict[tuple, list[int]] = {}  # form of a name -> columns that had it, the last one last
+        spoken: list[tuple[Counter, Counter]] = []
+        before: dict[str, int] = {}
+        out = []
+        for _, own in pdf.groupby(["delivered_at", "file_id"], sort=False, dropna=False):
+            file = own.to_dict("records")
+            now = {c["column_name"]: before[c["old"]] for c in file if c["old"] in before}
+            for key in ("column_name", "squashed", "canonical", "skeleton"):
+                for c in file:
+                    if c["column_name"] not in now and c[key]:
+                        open_ = [k for k in seen.get((key, c[key]), ()) if k not in now.values()]
+                        if open_:
+                            now[c["column_name"]] = open_[-1]
+            for c in file:
+                if c["column_name"] not in now:
+                    now[c["column_name"]] = len(spoken)
+                    spoken.append((Counter(), Counter()))
+                k = now[c["column_name"]]
+                out.append((c["file_id"], c["column_name"], k))
+                if c["canonical"]:
+                    spoken[k][0][c["canonical"]] += 1
+                spoken[k][1][c["core"]] += 1
+                for key in ("column_name", "squashed", "canonical", "skeleton"):
+                    if c[key]:
+                        had = seen.setdefault((key, c[key]), [])
+                        if k in had:
+                            had.remove(k)
+                        had.append(k)
+            before = now
+        names: list[str] = []
+        for canonical, core in spoken:
+            first = min((canonical or core).items(), key=lambda x: (-x[1], x[0]))[0]
+            n, given = 1, first
+            while given in names:
+                n += 1
+                given = f"{first}_{n}"
+            names.append(given)
+        return pd.DataFrame([(i, c, names[k]) for i, c, k in out], columns=["file_id", "column_name", "name"])
+
+    return known.groupBy("feed_code").applyInPandas(name, _NAMED)
+
+
+def number(value: Column, kind: Column) -> Column:
+    """Decimal of a text whose ``kind`` (``raw_type``) is numeric, else null; a comma, apostrophe or blank before three digits parts
+    thousands, another comma is the decimal point. Negative with a minus in front of the digits or in brackets."""
+    plain = F.regexp_replace(F.regexp_replace(value, r"(?<=\d)[,' ](?=\d{3}(?!\d))", ""), ",", ".")
+    sign = F.when(value.contains("-") | value.rlike(r"\(.*\)"), "-").otherwise("")
+    return safe_numeric(F.when(kind == "numeric", F.concat(sign, F.regexp_replace(plain, "[^0-9.]", ""))))
+
+
+def consistent_rows(files: DataFrame, rows: DataFrame, catalog: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Every cell of every file in its feed's one consistent table, cast to its column's type, with failed casts.
+
+    feed_code, file_id, row_no, column_name (``feed_columns``), column_type (the most frequent type of the column in its
+    feed), value (trimmed, null words to null), as_numeric, as_date, as_timestamp (the one of the column's type, where the
+    cast succeeds), cast_failed (a value, but no cast). ``feed_table`` gives the columns side by side.
+
+    Dates and instants are read as by ``timestamps``, in the date order and zone of the facility that the feed's code names
+    (where it names none in UTC, and in the order that all dates of the feed with a part above 12 share); a date in a column of instants is its midnight there. Each distinct text of a feed is converted once.
+    """
+    named = checkpointed(feed_columns(files, rows, catalog))
+    values = path_values(files, rows).join(named, ["file_id", "column_name"]).join(files.select("file_id", "feed_code"), "file_id").withColumn("column_name", F.col("name"))
     counted = values.where("raw_type is not null").groupBy("feed_code", "column_name").agg(*[F.count_if(F.col("raw_type") == t).alias(t) for t in TYPES])
     most = F.greatest(*TYPES)
     kinds = counted.select("feed_code", "column_name", F.coalesce(*[F.when(F.col(t) == most, t) for t in TYPES]).alias("column_type"))
-    typed = values.join(kinds, ["feed_code", "column_name"], "left")
-    # a date fits a column of instants, any value fits a column of text
-    fits = (F.col("column_type") == "text") | (F.col("raw_type") == F.col("column_type")) | ((F.col("column_type") == "timestamptz") & (F.col("raw_type") == "date"))
-    return typed.select(
+    value = F.when(F.col("raw_type").isNotNull(), F.trim("value"))
+    cells = values.join(kinds, ["feed_code", "column_name"], "left").select("feed_code", "file_id", "row_no", "column_name", "column_type", value.alias("value"), "raw_type")
+    instant = F.col("column_type") == "timestamptz"
+    dated = F.when(instant & (F.col("raw_type") == "date"), F.concat("value", F.lit(" 00:00"))).when(F.col("column_type").isin("date", "timestamptz"), F.col("value"))
+    # instants, and birth dates, whose two-digit years lie before 2000
+    flags = F.when(instant, 1).otherwise(0) + F.when(F.col("column_name").rlike("dob|birth"), 2).otherwise(0)
+    cells = checkpointed(cells.withColumn("dated", dated).withColumn("flags", flags.cast("long")))
+    codes = facilities.select(F.upper("facility_code").alias("facility"), "date_order", "time_zone").dropDuplicates(["facility"])
+    part = lambda n: F.regexp_extract("dated", r"^(\d{1,2})([-/.])(\d{1,2})\2\d", n).try_cast("int")
+    first, second = F.count_if((part(1) > 12) & (part(3) <= 12)), F.count_if((part(3) > 12) & (part(1) <= 12))
+    orders = cells.where("dated is not null").groupBy("feed_code").agg(F.when((first > 0) & (second == 0), "DMY").when((second > 0) & (first == 0), "MDY").alias("own_order"))
+    asked = cells.where("dated is not null").select("feed_code", "dated", "flags").distinct().withColumn("facility", F.upper("feed_code")).join(codes, "facility", "left").join(orders, "feed_code", "left")
+    read = timestamps.normalise(
+        asked.select(
+            F.col("feed_code").alias("src_table"), F.col("flags").alias("row_id"), F.col("dated").alias("field_name"), F.col("dated").alias("value"), F.coalesce("date_order", "own_order", F.lit("")).alias("date_order"), F.coalesce("time_zone", F.lit("UTC")).alias("time_zone"),
+            (F.col("flags") % 2 == 1).alias("instant"), (F.col("flags") >= 2).alias("old"),
+        )
+    )
+    typed = cells.join(read.select(F.col("src_table").alias("feed_code"), F.col("row_id").alias("flags"), F.col("field_name").alias("dated"), "norm_value"), ["feed_code", "flags", "dated"], "left")
+    of = lambda kind, cast: F.when(F.col("column_type") == kind, cast)
+    typed = typed.select(
         "feed_code",
         "file_id",
         "row_no",
         "column_name",
         "column_type",
-        F.when(F.col("raw_type").isNotNull(), F.trim("value")).alias("value"),
-        (F.col("raw_type").isNotNull() & ~fits).alias("cast_failed"),
+        "value",
+        of("numeric", number(F.col("value"), F.col("raw_type"))).alias("as_numeric"),
+        of("date", F.col("norm_value").try_cast("date")).alias("as_date"),
+        of("timestamptz", F.col("norm_value").try_cast("timestamp")).alias("as_timestamp"),
     )
+    cast = F.coalesce(F.col("as_numeric").isNotNull() | F.col("as_date").isNotNull() | F.col("as_timestamp").isNotNull(), F.lit(False))
+    return typed.withColumn("cast_failed", F.col("value").isNotNull() & (F.col("column_type") != "text") & ~cast)
+
+
+def feed_table(cells: DataFrame, feed_code: str) -> DataFrame:
+    """One feed's cells of ``consistent_rows`` as a table: file_id, row_no, its columns in their types, and failed_casts
+    (names). Of headers that are one column the greatest value counts."""
+    own = cells.where(F.col("feed_code") == feed_code)
+    columns = sorted((r[0], r[1] or "text") for r in own.select("column_name", "column_type").distinct().collect())
+    source = {"text": "value", "numeric": "as_numeric", "date": "as_date", "timestamptz": "as_timestamp"}
+    wide = [F.max(F.when(F.col("column_name") == name, F.col(source[kind]))).alias(name) for name, kind in columns]
+    return own.groupBy("file_id", "row_no").agg(*wide, F.array_sort(F.collect_set(F.when(F.col("cast_failed"), F.col("column_name")))).alias("failed_casts"))

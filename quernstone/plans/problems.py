@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.consistent_rows(*_feeds(spark, sf_dir))
+    return drift.consistent_rows(*_feeds(spark, sf_dir), table(spark, sf_dir, "facilities"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
