@@ -169,6 +169,12 @@ def safe_dates(t):
     return t("records").where(F.trim("record_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("id", casts.safe_date(F.col("record_date")).alias("as_date"))
 
 
+@query()
+def safe_dates_all(t):
+    """Every row, whatever its shape; SQL reads other shapes differently."""
+    return t("records").select("id", casts.safe_date(F.col("record_date")).alias("as_date"))
+
+
 @query(r"""
 SELECT id, CASE WHEN regexp_matches(trim(admittime), '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$') THEN TRY_STRPTIME(trim(admittime), '%Y-%m-%d %H:%M:%S') END AS admitted_at FROM admissions""")
 def safe_timestamps(t):
@@ -231,6 +237,12 @@ def any_dates(t):
     return shaped.select("id", casts.any_date(F.col("dob")).alias("as_date"))
 
 
+@query()
+def any_dates_all(t):
+    """Every row, whatever its shape; SQL reads other shapes differently."""
+    return t("patients").select("id", casts.any_date(F.col("dob")).alias("as_date"))
+
+
 # --- catalog -----------------------------------------------------------------------------------------------------------
 @query("""
 SELECT column_signature, list_filter(safe_columns, lambda c: NOT (contains(c, 'ssn') OR contains(c, 'social_security') OR contains(c, 'social_sec') OR contains(c, 'password') OR contains(c, 'passwd'))) AS stored

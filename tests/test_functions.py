@@ -1,3 +1,5 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts, text
@@ -41,3 +43,22 @@ def test_formats_are_lenient_in_width(spark):
     assert casts.spark_format("YYYY-MM-DD HH24:MI:SS") == "yyyy-M-d H:m:s"
     assert [str(x) if x else None for x in one(spark, casts.safe_date(F.col("v")), "2024-1-5", "2024-02-30", "", None)] == ["2024-01-05", None, None, None]
     assert one(spark, casts.any_date(F.col("v")), "1/5/2024", "5 March 2024", "soon") == ["2024-01-05", "2024-03-05", "soon"]
+
+
+def test_dates_of_whole_tables(spark, tmp_path):
+    from quernstone.plans import reference
+
+    values = ["2024-01-05", " 2024-1-5 ", "2024-02-30", "01/05/2024", "1/5/2024", "1-5-2024", "5 March 2024", "March 5, 2024", "31/12/2024", "late May", "", None]
+    for name, column in (("records", "record_date"), ("patients", "dob")):
+        spark.createDataFrame(list(enumerate(values)), f"id long, {column} string").write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def brute(value, formats):
+        for f in formats:
+            try:
+                return str(dt.datetime.strptime((value or "").strip(), f).date())
+            except ValueError:
+                pass
+
+    read = lambda name: {r.id: str(r.as_date) if r.as_date is not None else None for r in reference.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert read("safe_dates_all") == {i: brute(v, ["%Y-%m-%d"]) for i, v in enumerate(values)}
+    assert read("any_dates_all") == {i: brute(v, ["%Y-%m-%d", "%m/%d/%Y", "%m-%d-%Y", "%d %B %Y", "%B %d, %Y"]) or v for i, v in enumerate(values)}
