@@ -104,6 +104,10 @@ def test_spans(spark):
     assert [text[a:b] for a, b in spans] == [ITEM.split("\n")[0].rstrip("?")]
 
 
+def test_spoken_number_of_any_digits():
+    assert found("Ring two one two, three four six, nine oh one two after noon.") == [("PHONE", "two one two, three four six, nine oh one two")]
+
+
 def aligned(item, document):
     """(first, last) document word of each passage of one item that counts."""
     items = leakage.Items.of([(1, " ".join(item))])
