@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import strip
@@ -77,3 +77,29 @@ def typed(col: Column, kind: str, declared: str | None = None) -> Column:
     if kind == "timestamptz":
         return safe_timestamp(col, declared or "YYYY-MM-DD HH24:MI:SS")
     return col
+
+
+#: SQL bodies of the casts for ad-hoc statements; Spark inlines them, so they stay in generated code.
+_STRIPPED = r"regexp_replace(v, '(?U)^\\s+|\\s+$', '')"
+_DIGITS = r"nullif(regexp_replace(v, '[^0-9.]', ''), '')"
+_NUMBER = f"TRY_CAST({_DIGITS} AS DECIMAL(38,6))"
+_PATTERN = "f"
+# two-digit months first: what month names become must stay
+for _token, _spark in sorted(FORMAT_TOKENS, key=lambda t: (t[0] != "MM", -len(t[0]))):
+    _PATTERN = f"replace({_PATTERN}, '{_token}', '{_spark}')"
+SQL_FUNCTIONS = {
+    "safe_numeric": ("v STRING", "DECIMAL(38,6)", rf"CASE WHEN startswith({_STRIPPED}, '-') OR {_STRIPPED} RLIKE '^\\(.*\\)$' THEN -({_NUMBER}) ELSE {_NUMBER} END"),
+    "safe_date": ("v STRING", "DATE", f"CAST(try_to_timestamp(nullif({_STRIPPED}, ''), 'yyyy-M-d') AS DATE)"),
+    "safe_timestamptz": ("v STRING", "TIMESTAMP", f"try_to_timestamp(nullif({_STRIPPED}, ''), 'yyyy-M-d H:m:s')"),
+}
+
+
+def register(spark: SparkSession) -> None:
+    """The casts as functions of ad-hoc SQL: ``safe_numeric(text)``, ``safe_date(text)``, ``safe_timestamptz(text)``, and
+    with a declared format ``safe_date_as(text, 'MM/DD/YYYY')`` and ``safe_timestamptz_as``."""
+    declared = {
+        "safe_date_as": ("v STRING, f STRING", "DATE", f"CAST(try_to_timestamp(nullif({_STRIPPED}, ''), {_PATTERN}) AS DATE)"),
+        "safe_timestamptz_as": ("v STRING, f STRING", "TIMESTAMP", f"try_to_timestamp(nullif({_STRIPPED}, ''), {_PATTERN})"),
+    }
+    for name, (arguments, kind, body) in {**SQL_FUNCTIONS, **declared}.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -1,7 +1,11 @@
+import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from quernstone.functions import casts
 from quernstone.operators import answer, entities, intent, lookup, sqlguard
 from quernstone.sources import readers, tables
 
@@ -40,6 +44,67 @@ def test_guard(spark):
     assert sqlguard.run(spark, "SELECT nope FROM nowhere") == [] and len(sqlguard.run(spark, "SELECT 1 a")) == 1
 
 
+BYPASSES = (
+    "SELECT * FROM `parquet`.`/root/testdata/sf0.001/region.parquet`",
+    "SELECT * FROM parquet . `/root/testdata/sf0.001/region.parquet`",
+    "SELECT * FROM numbers JOIN (SELECT * FROM text.`/etc/passwd`) USING (id)",
+    "SELECT (SELECT max(value) FROM text.`/etc/passwd`) v",
+    "SELECT id FROM numbers WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)",
+    "SELECT id FROM numbers WHERE id IN (SELECT length(value) FROM text.`/etc/passwd`)",
+    "WITH x AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM x",
+    "SELECT * FROM numbers, LATERAL (SELECT * FROM text.`/etc/passwd`)",
+    "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT reflect/**/('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT id FROM numbers ORDER BY reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT sum(id) OVER w FROM numbers WINDOW w AS (PARTITION BY reflect('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT max(id) FROM numbers HAVING reflect('java.lang.System', 'getProperty', 'user.home') = 'x'",
+    "SELECT input_file_name() FROM numbers",
+    "SELECT TRANSFORM(id) USING 'cat' FROM numbers",
+    "SELECT * FROM (SELECT TRANSFORM(id) USING 'cat' AS (v) FROM numbers)",
+    "SELECT 1 UNION SELECT 2 ORDER BY 1",
+    "SELECT 1 UNION ALL SELECT 2 LIMIT 3",
+    "(SELECT 1 EXCEPT SELECT 2) LIMIT 3 OFFSET 1",
+    "WITH x AS (SELECT 1 a) SELECT * FROM x UNION ALL SELECT * FROM x",
+    "EXECUTE IMMEDIATE 'DROP TABLE x'",
+    "BEGIN SELECT 1; END",
+    "FROM numbers INSERT INTO t SELECT *",
+    "CREATE TABLE t AS SELECT 1",
+    "EXPLAIN SELECT 1",
+    "SET spark.sql.runSQLOnFiles=true",
+    "",
+)
+
+
+@pytest.mark.parametrize("sql", BYPASSES)
+def test_guard_rejects(spark, sql):
+    spark.range(10).createOrReplaceTempView("numbers")
+    with pytest.raises((sqlguard.Rejected, AnalysisException)):
+        sqlguard.checked(spark, sql).collect()
+    assert sqlguard.run(spark, sql) == []
+
+
+def test_guard_accepts(spark):
+    spark.range(10).createOrReplaceTempView("numbers")
+    assert sqlguard.checked(spark, "SELECT id -- one; two\nFROM numbers /* a ~ b; */ WHERE id > 7;").count() == 2
+    assert sqlguard.checked(spark, "SELECT * FROM (SELECT 1 a UNION SELECT 2) ORDER BY a").count() == 2
+    assert sqlguard.checked(spark, "SELECT max(id) AS `a~b`, \"x ~ y\" AS w FROM numbers GROUP BY id % 2 HAVING count(*) > 1").count() == 2
+    assert sqlguard.checked(spark, "SELECT sum(id) OVER w s FROM numbers WINDOW w AS (ORDER BY id)").count() == 10
+    assert sqlguard.checked(spark, "SELECT n.id FROM numbers n JOIN range(3) r ON n.id = r.id WHERE n.id IN (SELECT id FROM numbers WHERE id > 1)").count() == 1
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_casts_in_sql(spark):
+    casts.register(spark)
+    spark.createDataFrame([("($1,234.50)", "2024-02-30", "05/03/2024", "2024-01-02 03:04:05"), ("x", "2024-02-29", "13/03/2024", "2024-01-02T03"), (None, " ", "", None)], "n string, d string, u string, t string").createOrReplaceTempView("dirty")
+    got = sqlguard.checked(spark, "SELECT safe_numeric(n) n, safe_date(d) d, safe_date_as(u, 'MM/DD/YYYY') u, safe_timestamptz(t) t FROM dirty").collect()
+    named = spark.sql("SELECT safe_date_as('March 5, 2024', 'Month DD, YYYY') a, safe_date_as('5 Mar 2024', 'DD Mon YYYY') b, safe_numeric(repeat('9', 32)) c").first()
+    assert named.a == named.b == dt.date(2024, 3, 5) and int(named.c) == 10**32 - 1
+    want = spark.table("dirty").select(casts.safe_numeric(F.col("n")), casts.safe_date(F.col("d")), casts.safe_date(F.col("u"), "MM/DD/YYYY"), casts.safe_timestamp(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and float(got[0].n) == -1234.5 and got[1].d is not None and got[0].u is not None
+
+
 def test_names(spark):
     assert entities.name_score("Johnson, Alice M.", "Alice Johnson") == 1.0 and entities.name_score("", "x") == 0.0
     df = spark.createDataFrame([(1, "Alice Johnson"), (2, "Johnson, Alice M."), (3, "Alicia Jonson"), (4, None), (5, "Bob")], "id long, name string")
