@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -110,8 +112,37 @@ def test_spoken_number_of_any_digits():
 
 def aligned(item, document):
     """(first, last) document word of each passage of one item that counts."""
-    items = leakage.Items.of([(1, " ".join(item))])
-    return sorted((first, last) for *_, first, last in leakage.search_shard(items, [items.encode(" ".join(document))]))
+    text = " ".join(document)
+    items = leakage.Items.of([(1, [leakage.key_of(w) for w in item])])
+    found = [p for _, cs in leakage.search_shard(items, [leakage.Lexicon(items.vocabulary).encode(text)]) for p in leakage.passages(text, cs)]
+    return sorted((len(text[:a].split()), len(text[:b].split()) - 1) for *_, a, b in found)
+
+
+def test_blocks_of_items_change_nothing(spark):
+    """Whatever the blocks: text shared by items of different blocks is no leak, competing items share a document alike."""
+    rnd = random.Random(3)
+    some = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+    items = [(i, LEAD + " ".join(rnd.choices(some, k=45))) for i in range(14)]
+    items[3], items[11] = (3, items[3][1] + " " + ITEM), (11, items[11][1] + " " + ITEM)  # shared by two items
+    items[5] = (5, items[5][1] + " " + " ".join(items[9][1].split()[-11:]))  # too short to be shared: 5 and 9 compete for it
+    words = [t.split()[len(LEAD.split()) :] for _, t in items]
+    docs = [(i, "Keep the wound dry. " * i + " ".join(words[i][:30]) + " and more " + " ".join(words[(i + 4) % 14][-30:])) for i in range(14)] + [(50, ITEM), (51, ITEM)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame(items, "item_id long, item_text string")
+    got = {n: sorted(map(tuple, leakage.leaked_passages(d, e, item_block=n).collect())) for n in (1, 3, 5, 100)}
+    assert len(got[100]) > 10 and got[1] == got[3] == got[5] == got[100]
+    assert not any(doc in (50, 51) for doc, *_ in got[100])
+
+
+def test_six_fragments_and_a_long_item(spark):
+    item = [f"w{k}" for k in range(150)]
+    text = " ".join(" ".join(item[k * 25 : k * 25 + 22] + [f"x{j}" for j in range(30)]) for k in range(6))
+    long = [f"v{k}" for k in range(1500)]
+    d = spark.createDataFrame([(1, text), (2, " ".join(long))], "doc_id long, text string")
+    e = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, item_text string")
+    spans = {r.doc_id: r.spans for r in leakage.removal_spans(leakage.leaked_passages(d, e)).collect()}
+    assert [len(text[a:b].split()) for a, b in spans[1]] == [22] * 6
+    assert [tuple(s) for s in spans[2]] == [(0, len(" ".join(long)))]
 
 
 def test_every_copy_of_a_passage(spark):
