@@ -164,16 +164,26 @@ def test_short_quotation_hides_no_passage():
     assert aligned(item, altered + gap + item[:15]) == [(0, 23)]
 
 
-PROSE = "The patient was seen on Monday and the wound is dry. She walks with a cane and has no pain at rest. We will see her again in two weeks if the dose of warfarin is well tolerated. "
+PROSE = "The patient was seen on Monday and the wound is dry. She walks with a cane and has no pain at rest. We will see her again in two weeks if the dose of warfarin is well tolerated. A result of 4.5 mg was in the table. "
 
 
 def test_spam(spark):
-    docs = [(i, PROSE * (1 + i % 4)) for i in range(80)]
+    docs = [(i, PROSE * (1 + i % 4) + f"Visit {i} is done.") for i in range(80)]
     docs += [(100, "cheap knee brace online, knee brace sale, buy knee brace near me, " * 20), (101, "\n".join(f"http://link-farm.example/page/{i}" for i in range(60))), (102, " ".join(f"tag:miracle_cure; sku:{i}_belt;" for i in range(40)))]
-    docs += [(200, "Result table\n" + "\n".join(f"warfarin\t{i}.4\tmg\tH" for i in range(40))), (201, None), (202, ""), (203, "...!!!"), (204, PROSE * 8 + "cheap knee brace online, knee brace sale, " * 6)]
+    docs += [(200 - k, "Result table\n" + "\n".join(f"warfarin dose\t{i + k}.4\tmg" for i in range(40 - k))) for k in range(6)]
+    docs += [ (201, None), (202, ""), (203, "...!!!"), (204, PROSE * 8 + "cheap knee brace online, knee brace sale, " * 6)]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, share string")
     assert sorted(r.doc_id for r in spam.spam_pages(df).collect()) == [100, 101, 102]
     assert spam.spam_pages(df.limit(0)).collect() == []
+    # the model decides: without its limits nothing is flagged
+    fitted = spam.fit(df)
+    assert 0 < fitted.low < fitted.high < 10 and {r.doc_id: r.bits > fitted.high for r in spam.score_pages(df, fitted).where("doc_id in (0, 100, 101, 200)").collect()} == {0: False, 100: True, 101: True, 200: False}
+
+
+def test_sample_is_bounded_and_counts_copies_once(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same page' ELSE concat('page ', id) END AS text")
+    assert spam.sample_pages(docs, 10_000).count() == 2001
+    assert 100 < spam.sample_pages(docs, 300).count() < 320
 
 
 def test_histories_begin_anew_on_each_page():
