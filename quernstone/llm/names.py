@@ -1,19 +1,27 @@
 """Variant spellings of one person's or organisation's name.
 
-Names become tokens (folded, without titles, particles and words every organisation uses; nicknames also stand for the
-names they shorten). Distinct tokens form a metric space under the unrestricted Damerau-Levenshtein distance. Each
-token is assigned to its nearest pivot and, by the triangle inequality, copied to every cell where a token within the
-radius could be at home: if d(x, y) <= r and p is nearest to x then d(y, p) - d(y, nearest(y)) <= 2 r. Inside a cell an
-exact join finds all pairs within the radius (deletion neighbourhoods propose, the true distance decides).
-
-Rows are candidates when they share a token, or have two within the radius, *and* a piece of evidence: an identifier,
-birth date, telephone number or address. Candidates are judged on whole names and all evidence, and linked rows are
-joined to entities by hash-to-min rounds over the links.
-
-A spelling is compared once however many rows bear it, and rows meet only under one key of token and evidence; a name
-borne by a third of all rows is split by its evidence. Null and blank names have no tokens and are never linked; equal
+A name is written in short forms: each of its parts with the initial of every other (``hadostrom tt``, ``terrence hh``; the
+initial twice, so that another initial is two edits away), nicknames also as the names they shorten, a person with one
+part with any initial, an organisation by its own parts alone. So order, middle names and abbreviated given names
+leave forms in common, and spelling errors leave them near.
+
+Forms are partitioned in metric space, those of each initial apart (another initial is beyond the radius). Pivots are the
+most frequent forms of an initial. The distance to a pivot is the bag distance (the
+larger number of letters that one form has more than the other): a metric, never above the unrestricted
+Damerau-Levenshtein distance, and one matrix product for many forms. A form is at home with its nearest pivot p, the
+first of equals. It is copied to every later cell q where d(y, q) <= d(y, p) + 2 r - 1: if x is at home in q, y in an earlier
+p and they are at most r apart, then d(y, q) <= d(x, q) + r <= d(x, p) - 1 + r (q was strictly nearer) <= d(y, p) + 2 r - 1. The number
+of pivots grows with the number of forms; cells that are still large are divided again by pivots of their own. Inside a
+cell an exact join finds all pairs within the radius: bag distances propose, the true edit distance decides.
+
+Rows are candidates when their names have a form in common or two within the radius, *and* they share a piece of
+evidence: an identifier, birth date, telephone number or address (a contact only counts where a birth date is missing).
+Candidates are judged on whole names and all evidence, and linked rows are joined to entities by star rounds.
+
+A spelling is compared once however many rows bear it, and rows meet only under one key of form and evidence; a name
+borne by a third of all rows is split by its evidence. Null and blank names have no forms and are never linked; equal
 names with different identifiers stay apart; rows without evidence stay alone; repeated rows with equal name texts
-belong to one entity but are no pair of variants; extra columns are ignored.
+belong to one entity but are no pair of variants; names of any length are compared whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +33,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed
 
 RADIUS = 1
+#: Shortest parts whose typing errors are forgiven when whole names are judged.
 LEAST_LENGTH = 4
-MOST_LENGTH = 40
-#: Pivots: about the root of the number of distinct tokens, within these bounds.
-PIVOTS = (16, 1024)
+#: Forms that a pivot stands for, pivots of a part at most, and of a cell that is divided again.
+PER_PIVOT, PIVOTS, MORE_PIVOTS = 250, 2048, 64
+#: Forms from which on a cell is divided again, and how often parts and cells are divided at most.
+CELL, LEVELS = 50_000, 4
+#: Letters of forms fall into so many kinds, each counted up to a limit: both only make bag distances smaller.
+LETTERS, COUNTED = 32, 3
+#: Bag distances that are held at a time.
+BLOCK = 4_000_000
 
 #: Titles, degrees, legal forms and particles that are no part of a name proper.
 TITLES = frozenset("dr mr mrs ms miss prof sir md do rn np pa phd dds dpm lpn jr sr ii iii esq the of and pllc llc inc pc llp corp co ltd".split())
-PARTICLES = frozenset("van von der den de la del di da le dela ten ter".split())
+PARTICLES = frozenset("van von der den de la del di da le dela ten ter vander vanden vonder".split())
 #: Words of organisations and their short forms.
 ORG_WORDS = {
     short: word
@@ -90,11 +106,11 @@ NICKNAMES = {
     "cornelius": "corny neil", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie", "edward": "ed ned ted eddie",
     "elizabeth": "liz beth betty eliza lizzie", "francesca": "fran frankie", "francis": "frank", "frederick": "fred fritz freddie", "gabriela": "gabi gaby",
     "gregory": "greg", "henrietta": "hetty etta", "henry": "hank harry", "isadora": "izzy dora isa", "jacqueline": "jackie", "james": "jim jimmy",
-    "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie", "katharina": "kat kathy kate",
-    "lawrence": "larry", "leopold": "leo", "ludmila": "mila", "margaret": "maggie meg peggy", "maribel": "mari", "matthias": "matt matty", "matthew": "matt",
+    "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon jonny", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie", "katharina": "kat kathy kate",
+    "lawrence": "larry", "leopold": "leo", "ludmila": "mila", "margaret": "maggie meg peggy", "maribel": "mari belle", "matthias": "matt matty", "matthew": "matt",
     "maximilian": "max", "michael": "mike mick", "nathaniel": "nate nat", "nicholas": "nick", "osvaldo": "ozzie", "patricia": "pat trish patty", "patrick": "pat paddy",
     "philip": "phil", "philippa": "pippa", "raymond": "ray", "rebecca": "becca becky", "reginald": "reggie", "richard": "rich rick dick", "robert": "rob bob bobby",
-    "ronald": "ron", "samuel": "sam", "stephen": "steve", "susannah": "sue susie", "terrence": "terry", "theodore": "ted theo", "thomas": "tom tommy",
+    "ronald": "ron", "samuel": "sam", "stephen": "steve", "susannah": "sue susie", "terrence": "terry", "theodora": "dora thea", "theodore": "ted theo", "thomas": "tom tommy",
     "timothy": "tim", "veronica": "ronnie vera", "victoria": "vicky tori", "wilhelmina": "mina willa", "william": "will bill billy",
 }
 _FULL = defaultdict(set)
@@ -102,7 +118,7 @@ for _name, _shorts in NICKNAMES.items():
     for _short in _shorts.split():
         _FULL[_short].add(_name)
 
-_SPLIT_PARTICLE = re.compile(r"\b(Dela|De|Van|Von|Der|La)(?=[A-Z][a-z])")
+_SPLIT_PARTICLE = re.compile(r"\b(Vander|Vanden|Vonder|Dela|De|Van|Von|Der|La)(?=[A-Z][a-z])")
 _FOLDS = str.maketrans({"ø": "o", "Ø": "O", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "ł": "l", "Ł": "L", "đ": "d", "’": "'"})
 
 
@@ -126,12 +142,23 @@ def parts(name: str | None) -> tuple[list[str], list[str], list[str]]:
     else:
         org, tokens = [], words
     initials = [t for t in tokens if len(t) == 1]
-    return [t[:MOST_LENGTH] for t in tokens if len(t) > 1], initials, org
+    return [t for t in tokens if len(t) > 1], initials, org
 
 
-def index_tokens(tokens: list[str]) -> list[str]:
-    """Tokens under which a name is found: its own and the names that its nicknames shorten."""
-    return sorted({*tokens, *(f for t in tokens for f in _FULL.get(t, ()))})
+def forms(name: str | None) -> list[str]:
+    """Short forms under which a name is found."""
+    tokens, initials, org = parts(name)
+    whole = lambda t: {t, *_FULL.get(t, ())}
+    if org:
+        return sorted({f"{t} **" for t in tokens})
+    out: set[str] = set()
+    for k, token in enumerate(tokens):
+        rest = [*tokens[:k], *tokens[k + 1 :]]
+        firsts = {f[0] for t in rest for f in whole(t)} | set(initials) or set("abcdefghijklmnopqrstuvwxyz")
+        out |= {f"{t} {c}{c}" for t in whole(token) for c in firsts}
+        if any(len(t) <= 4 for t in rest):  # it may be an acronym of an organisation's last words
+            out.add(f"{token} **")
+    return sorted(out)
 
 
 def distance(a: str, b: str) -> int:
@@ -152,81 +179,112 @@ def distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
-def distances(pivot: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The distance of one pivot to many tokens (code points, padded with zeros), all at once."""
-    n, width = codes.shape
-    worst = len(pivot) + width
-    table = np.full((len(pivot) + 2, width + 2, n), worst, "int16")
-    table[1, 1:, :] = np.arange(width + 1, dtype="int16")[:, None]
-    last: dict[str, int] = {}
-    each = np.arange(n)
-    for i, c in enumerate(pivot, 1):
-        table[i + 1, 1, :] = i
-        last_col = np.zeros(n, "int64")
-        for j in range(1, width + 1):
-            token = codes[:, j - 1]
-            same = token == ord(c)
-            k = np.zeros(n, "int64")
-            for seen, row in last.items():
-                k[token == ord(seen)] = row
-            swap = table[k, last_col, each] + (i - k - 1) + 1 + (j - last_col - 1)
-            table[i + 1, j + 1, :] = np.minimum(np.minimum(table[i, j, :] + ~same, np.minimum(table[i + 1, j, :], table[i, j + 1, :]) + 1), swap)
-            last_col[same] = j
-        last[c] = i
-    return table[len(pivot) + 1, lengths + 1, each].astype("int64")
-
-
-def pairs_in_cell(tokens: list[str], home: list[bool], radius: int = RADIUS) -> Iterator[tuple[str, str]]:
-    """All pairs within the radius of which at least one token is at home in the cell; each once, smaller first."""
-    by_variant: dict[str, list[int]] = defaultdict(list)
-    for i, t in enumerate(tokens):
-        variants = {t}
-        for _ in range(radius):
-            variants |= {v[:k] + v[k + 1 :] for v in variants for k in range(len(v))}
-        for v in variants:
-            by_variant[v].append(i)
-    done = set()
-    for group in by_variant.values():
-        for x, i in enumerate(group):
-            for j in group[x + 1 :]:
-                if (home[i] or home[j]) and (i, j) not in done:
-                    done.add((i, j))
-                    if distance(tokens[i], tokens[j]) <= radius:
-                        yield min(tokens[i], tokens[j]), max(tokens[i], tokens[j])
-
-
-def neighbours(tokens: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """tokens: token (distinct), n (rows) -> a, b: all pairs of tokens within the radius, a < b."""
-    long = tokens.where(F.length("token") >= LEAST_LENGTH)
-    count = long.count()
-    n_pivots = int(min(max(PIVOTS[0], count**0.5), PIVOTS[1]))
-    # pivots: the most frequent tokens; misspellings lie close to them. Their number is bounded by PIVOTS.
-    pivots = [r[0] for r in long.orderBy(F.desc("n"), "token").limit(n_pivots).select("token").collect()]
-    if not pivots:
-        return tokens.sparkSession.createDataFrame([], "a string, b string")
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 2048):
-                texts = whole["token"].iloc[at : at + 2048].tolist()
-                lengths = np.array([len(t) for t in texts])
-                codes = np.zeros((len(texts), lengths.max()), "int32")
-                for i, t in enumerate(texts):
-                    codes[i, : len(t)] = [ord(c) for c in t]
-                d = np.stack([distances(p, codes, lengths) for p in pivots], axis=1)
-                nearest = d.argmin(axis=1)
-                low = d.min(axis=1)
-                token, cell = np.nonzero(d <= low[:, None] + 2 * radius)
-                yield pd.DataFrame({"cell": cell.astype("int32"), "token": [texts[i] for i in token], "home": nearest[token] == cell})
+def within_one(a: str, b: str) -> bool:
+    """Whether the distance is at most 1."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > 1:
+        return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
+    if len(a) > len(b):
+        return a[i + 1 :] == b[i:]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each text in unary (one column per kind of letter and count), and how many they are."""
+    out = np.zeros((len(texts), LETTERS * COUNTED), "float32")
+    sizes = [len(t) for t in texts]
+    row = np.repeat(np.arange(len(texts)), sizes)
+    kind = np.frombuffer("".join(texts).encode("utf-32-le"), "uint32").astype("int64") % LETTERS
+    keys, counts = np.unique(row * LETTERS + kind, return_counts=True)
+    for n in range(COUNTED):
+        own = keys[counts > n]
+        out[own // LETTERS, own % LETTERS * COUNTED + n] = 1
+    return out, out.sum(axis=1)
+
+
+def bag_distances(texts: tuple[np.ndarray, np.ndarray], pivots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """texts x pivots: the larger number of letters that one has more than the other."""
+    return np.maximum(texts[1][:, None], pivots[1]) - texts[0] @ pivots[0].T
+
+
+def cells_of(texts: list[str], pivots: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, cell, at home) of every cell that a text belongs or is copied to."""
+    d = bag_distances(bags(texts), pivots)
+    home = d.argmin(axis=1)
+    least = d[np.arange(len(texts)), home]
+    # later cells only, and by one less than to both sides: see the module's text
+    kept = (d <= least[:, None] + 2 * radius - 1) & (np.arange(d.shape[1]) >= home[:, None])
+    text, cell = np.nonzero(kept)
+    return text, cell, home[text] == cell
+
+
+def pairs_in_cell(texts: list[str], homes: np.ndarray, full: int, radius: int = RADIUS) -> Iterator[tuple[str, str]]:
+    """All pairs within the radius that are at home, one or the other, at every level; each once, smaller first."""
+    codes, sizes = bags(texts)
+    near = within_one if radius == 1 else lambda a, b: distance(a, b) <= radius
+    step = max(1, BLOCK // len(texts))
+    for at in range(0, len(texts), step):
+        one = slice(at, at + step)
+        d = bag_distances((codes[one], sizes[one]), (codes[at:], sizes[at:]))
+        x, y = np.nonzero(d <= radius)
+        kept = (x < y) & (homes[at + x] | homes[at + y] == full)
+        for i, j in zip((at + x[kept]).tolist(), (at + y[kept]).tolist()):
+            if near(texts[i], texts[j]):
+                yield min(texts[i], texts[j]), max(texts[i], texts[j])
+
+
+_CELLS = "cell long, form string, homes int, full int"
+
+
+def neighbours(found: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, most: int = CELL) -> DataFrame:
+    """found: form (distinct), n (rows), part (forms of different parts are never near) -> a, b: all pairs of forms within the
+    radius, a < b."""
+    spark = found.sparkSession
+    # a given number of tasks: the distances cost CPU, not bytes, and would else be merged into one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = found.select(F.xxhash64("part").alias("cell"), "form", F.lit(0).alias("homes"), F.lit(0).alias("full"), "n")
+    done, level, limit, many = None, 0, 2 * per_pivot, PIVOTS
+    while level < LEVELS:
+        # large cells are few (at most the forms by ``limit``), and so are their pivots
+        large = {r[0]: min(many, -(-r[1] // per_pivot)) for r in cells.groupBy("cell").count().where(F.col("count") > limit).collect()}
+        if not large:
+            break
+        order = F.row_number().over(W.partitionBy("cell").orderBy(F.desc("n"), F.xxhash64("form"), "form"))
+        pivots: dict[int, list[str]] = defaultdict(list)
+        for r in cells.where(F.col("cell").isin(list(large))).withColumn("nth", order).where(F.col("nth") <= many).select("cell", "form", "nth").collect():
+            if r[2] <= large[r[0]]:
+                pivots[r[0]].append(r[1])
+        rest = cells.where(~F.col("cell").isin(list(large)))
+        done = rest if done is None else done.unionByName(rest)
+        hard = cells.where(F.col("cell").isin(list(large))).repartition(tasks, "form")
+        cells = checkpointed(_divided(hard, dict(pivots), level, radius).withColumn("n", F.lit(1).cast("long")))
+        level, limit, many = level + 1, most, MORE_PIVOTS
+    whole = cells if done is None else done.unionByName(cells)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("token")
-        return pd.DataFrame(list(pairs_in_cell(pdf["token"].tolist(), pdf["home"].tolist(), radius)), columns=["a", "b"])
+        pdf = pdf.sort_values("form")
+        return pd.DataFrame(list(pairs_in_cell(pdf["form"].tolist(), pdf["homes"].to_numpy(), int(pdf["full"].iloc[0]), radius)), columns=["a", "b"])
+
+    return whole.select("cell", "form", "homes", "full").groupBy("cell").applyInPandas(join, "a string, b string").distinct()
 
-    # a given number of tasks: the distances cost CPU, not bytes, and would else be merged into one task
-    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = long.select("token").repartition(tasks, "token").mapInPandas(assign, "cell int, token string, home boolean")
-    return cells.groupBy("cell").applyInPandas(join, "a string, b string").distinct()
+
+def _divided(members: DataFrame, pivots: dict[int, list[str]], level: int, radius: int) -> DataFrame:
+    """Members of cells in the cells around each cell's own pivots; ``homes`` and ``full`` have a bit per level."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = {c: bags(p) for c, p in pivots.items()}
+        for whole in batches:
+            for cell, pdf in whole.groupby("cell"):
+                for at in range(0, len(pdf), 4096):
+                    some = pdf.iloc[at : at + 4096]
+                    text, near, home = cells_of(some["form"].tolist(), own[cell], radius)
+                    ids = np.array([xxhash.xxh64_intdigest(f"{cell} {p}") >> 1 for p in range(len(own[cell][1]))], "int64")
+                    homes = some["homes"].to_numpy()[text] | (home.astype("int32") << level)
+                    yield pd.DataFrame({"cell": ids[near], "form": some["form"].to_numpy(object)[text], "homes": homes.astype("int32"), "full": (some["full"].to_numpy()[text] | 1 << level).astype("int32")})
+
+    return members.select("cell", "form", "homes", "full").mapInPandas(run, _CELLS)
 
 
 def given_match(a: str, b: str) -> int:
@@ -304,26 +362,29 @@ def link(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
     """rows: id, name and text columns of evidence -> id_a, id_b of rows that are one entity by name and evidence."""
 
     @F.pandas_udf("array<string>")
-    def tokenise(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: index_tokens(parts(n)[0]))
+    def written(names: pd.Series) -> pd.Series:
+        return names.map(forms)
 
     columns = strong + weak
     named = rows.where(F.length(F.btrim("name")) > 0).select("id", "name", *columns)
-    distinct = named.groupBy("name").agg(F.count("*").alias("n")).withColumn("tokens", tokenise("name"))
-    spellings = checkpointed(distinct.where(F.size("tokens") > 0).select("name", F.explode("tokens").alias("token"), "n"))
-    vocabulary = checkpointed(spellings.groupBy("token").agg(F.sum("n").alias("n")))
-    near = neighbours(vocabulary)
-    # the rarer token of a pair leads to the more frequent one, so that few rows follow many links
-    counts = vocabulary.select("token", "n")
-    sized = near.join(counts.select(F.col("token").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("token").alias("b"), F.col("n").alias("nb")), "b")
+    distinct = named.groupBy("name").agg(F.count("*").alias("n")).withColumn("forms", written("name"))
+    spellings = checkpointed(distinct.where(F.size("forms") > 0).select("name", F.explode("forms").alias("form"), "n"))
+    counts = checkpointed(spellings.groupBy("form").agg(F.sum("n").alias("n")))
+    near = neighbours(counts.withColumn("part", F.substring("form", -1, 1)))
+    # the rarer form of a pair leads to the more frequent one, so that few rows follow many links
+    sized = near.join(counts.select(F.col("form").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("form").alias("b"), F.col("n").alias("nb")), "b")
     upward = F.col("na") <= F.col("nb")
-    leads = sized.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("token"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("under"))
-    under = spellings.select("name", F.col("token").alias("under")).unionByName(spellings.join(leads, "token").select("name", "under")).distinct()
-    keyed = named.withColumn("e", F.explode(evidence_keys(columns))).select("id", "name", "e").join(under, "name").select("id", F.xxhash64("under", "e").alias("key"))
-    keyed = checkpointed(keyed)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    leads = sized.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("form"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("under"))
+    under = spellings.select("name", F.col("form").alias("under")).unionByName(spellings.join(leads, "form").select("name", "under")).distinct()
+    # contacts only count where one side has no birth date: two rows with one needn't meet under a contact
+    dated = F.col("dob").isNotNull() if "dob" in weak else F.lit(False)
+    contact = F.exists(F.array(*[F.lit(f"{c}:") for c in weak if c != "dob"]).cast("array<string>"), lambda c: F.startswith(F.col("e"), c))
+    keyed = named.withColumn("e", F.explode(evidence_keys(columns))).withColumn("open", ~(dated & contact)).select("id", "name", "e", "open")
+    keyed = checkpointed(keyed.join(under, "name").select("id", F.xxhash64("under", "e").alias("key"), "open"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o")).where("n > 1 and o").select("key")
     useful = keyed.join(shared, "key", "left_semi")
-    met = useful.select(F.col("id").alias("id_a"), "key").join(useful.select(F.col("id").alias("id_b"), "key"), "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    left, right = (useful.select(F.col("id").alias(f"id_{x}"), "key", F.col("open").alias(f"o_{x}")) for x in "ab")
+    met = left.join(right, "key").where("id_a < id_b and (o_a or o_b)").select("id_a", "id_b").distinct()
     side = lambda s: named.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
     beside = met.join(side("a"), "id_a").join(side("b"), "id_b")
     equal = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
@@ -352,39 +413,56 @@ def link(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
     return scored.where(one).select("id_a", "id_b")
 
 
+def _star(edges: DataFrame) -> DataFrame:
+    """One large-star and small-star round; an edge leads from a node u to a smaller one v."""
+    # large-star: the larger neighbours of a node go to the smallest of its neighbourhood
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # small-star: the smaller neighbours of a node, and the node itself, go to the smallest of them
+    smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+    return large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+
+
 def entities(links: DataFrame) -> DataFrame:
-    """id, entity (smallest id reached): large-star and small-star rounds until nothing changes."""
+    """id, entity (smallest id reached): star rounds, a written table each, until nothing changes."""
     edges = checkpointed(links.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).where("u != v").distinct())
+    sign = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+    known = sign(edges)
     while True:
-        # large-star: the larger neighbours of a node go to the smallest of its neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small-star: the smaller neighbours of a node, and the node itself, go to the smallest of them
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(smallest.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        new = checkpointed(small)
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
+        edges = checkpointed(_star(edges))
+        now = sign(edges)
+        if now == known:
             break
+        known = now
     roots = edges.select(F.col("v").alias("id")).distinct().withColumn("entity", F.col("id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("entity")).unionByName(roots)
 
 
+def _alike(rows: DataFrame, strong: list[str], weak: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with the kind of their name and evidence, and one row per kind with the entity it is linked to."""
+    columns = ["name", *strong, *weak]
+    kind = F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.coalesce(c, F.lit("")).alias("v")) for c in columns])
+    marked = rows.select("id", *columns).withColumn("kind", kind)
+    alike = marked.groupBy("kind").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in columns])
+    linked = entities(link(alike, strong, weak))
+    return marked.select("id", "kind"), checkpointed(linked.join(alike.select("id", "kind", "name"), "id").select("entity", "kind", "name"))
+
+
+def memberships(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
+    """id, entity: every row that is linked to another spelling or other evidence of its entity. Grows with the rows."""
+    marked, named = _alike(rows, strong, weak)
+    return marked.join(named, "kind").select("id", "entity")
+
+
 def variants(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
     """id_a, id_b: rows of one entity whose name texts differ, id_a < id_b.
 
     Rows equal in name and evidence are linked as one; pairs are formed between the different names of an entity and
     only then between their rows, so that many copies of one row meet nothing but what the result holds.
     """
-    columns = ["name", *strong, *weak]
-    kind = F.xxhash64(*[F.struct(F.col(c).isNull().alias("n"), F.coalesce(c, F.lit("")).alias("v")) for c in columns])
-    marked = rows.select("id", *columns).withColumn("kind", kind)
-    alike = marked.groupBy("kind").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in columns])
-    linked = entities(link(alike, strong, weak))
-    named = checkpointed(linked.join(alike.select("id", "kind", "name"), "id").select("entity", "kind", "name"))
-    members = named.join(marked.select("id", "kind"), "kind").select("entity", "name", "id")
+    marked, named = _alike(rows, strong, weak)
+    members = named.join(marked, "kind").select("entity", "name", "id")
     spelled = named.select("entity", "name").distinct()
     a, b = (spelled.select("entity", F.col("name").alias(f"name_{s}")) for s in "ab")
     pairs = a.join(b, "entity").where("name_a < name_b")

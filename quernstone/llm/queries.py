@@ -62,6 +62,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [names.memberships(*rows).select(F.lit(name).alias("src_table"), "id", "entity") for name, rows in p6_rows(spark, sf_dir).items()]
+    return found[0].unionByName(found[1])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "patients"))
 
@@ -90,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_pieces, p6_found, p7_found, p7_voted, p8_packed, p9_found, p9_spans, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_pieces, p6_found, p6_entities, p7_found, p7_voted, p8_packed, p9_found, p9_spans, p10_found)}
 
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT id AS record_id FROM records WHERE length(trim(raw_text, ' ' || chr(9) || chr(10) || chr(13))) > 1000",

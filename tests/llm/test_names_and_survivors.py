@@ -18,23 +18,46 @@ def test_distance_is_a_metric(a, b, c):
     assert d(a, b) == d(b, a) and (d(a, b) == 0) == (a == b) and d(a, c) <= d(a, b) + d(b, c)
 
 
-@settings(max_examples=60, deadline=None)
-@given(WORD, st.lists(WORD, min_size=1, max_size=8))
-def test_distances_at_once(pivot, tokens):
-    width = max(map(len, tokens))
-    codes = np.array([[ord(c) for c in t] + [0] * (width - len(t)) for t in tokens])
-    got = names.distances(pivot, codes, np.array([len(t) for t in tokens]))
-    assert got.tolist() == [names.distance(pivot, t) for t in tokens]
+@settings(max_examples=200, deadline=None)
+@given(WORD, WORD)
+def test_within_one_is_the_distance(a, b):
+    assert names.within_one(a, b) == (names.distance(a, b) <= 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abcdé*ß ", min_size=1, max_size=9), min_size=2, max_size=8))
+def test_bag_distance_is_a_metric_below_the_edit_distance(texts):
+    d = names.bag_distances(names.bags(texts), names.bags(texts))
+    assert (d == d.T).all() and (np.diag(d) == 0).all()
+    for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2):
+        assert d[i, j] <= names.distance(a, b) and all(d[i, j] <= d[i, k] + d[k, j] for k in range(len(texts)))
+
+
+def spoilt(rnd, n=220):
+    base = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 9))) for _ in range(n)]
+    base += ["x" * 70 + t for t in base[:30]]  # names far longer than any usual one, equal but at the end
+    return sorted({*base, *(t[:2] + t[3:] for t in base[:80]), *(t[1] + t[0] + t[2:] for t in base[40:120]), *(t[:-1] + "f" for t in base[n:])})
 
 
 def test_neighbours_against_all_pairs(spark):
-    rnd = random.Random(8)
-    base = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(4, 8))) for _ in range(120)]
-    tokens = sorted({*base, *(t[:2] + t[3:] for t in base[:40]), *(t[1] + t[0] + t[2:] for t in base[40:80])})
-    df = spark.createDataFrame([(t, 1 + (i % 5)) for i, t in enumerate(tokens)], "token string, n long")
-    got = {(r.a, r.b) for r in names.neighbours(df).collect()}
-    long = [t for t in tokens if len(t) >= names.LEAST_LENGTH]
-    assert got == {(a, b) for a, b in itertools.combinations(long, 2) if names.distance(a, b) <= 1}
+    """Whatever the pivots and however often cells are divided: exactly the pairs within the radius."""
+    forms = spoilt(random.Random(8))
+    df = spark.createDataFrame([(t, 1 + (i % 5), "p") for i, t in enumerate(forms)], "form string, n long, part string")
+    want = {(a, b) for a, b in itertools.combinations(forms, 2) if names.distance(a, b) <= 1}
+    for per_pivot, most in ((10_000, 10_000), (20, 10_000), (10, 40)):
+        got = [(r.a, r.b) for r in names.neighbours(df, per_pivot=per_pivot, most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert names.neighbours(df.limit(0)).collect() == []
+
+
+def test_every_near_pair_meets_at_home():
+    forms = spoilt(random.Random(5))
+    pivots = names.bags(forms[::9])
+    text, cell, home = names.cells_of(forms, pivots, 1)
+    at = [{c: h for t, c, h in zip(text, cell, home) if t == i} for i in range(len(forms))]
+    for i, j in itertools.combinations(range(len(forms)), 2):
+        if names.distance(forms[i], forms[j]) <= 1:
+            assert any(at[i][c] or at[j][c] for c in at[i].keys() & at[j].keys())
 
 
 def test_names():
@@ -69,6 +92,17 @@ def test_variants(spark):
     assert not any(5 in p or 7 in p for p in got)
 
 
+def test_forms_and_the_cells_find_spelling_errors(spark):
+    assert set(names.forms("Hadostrom, Terrence")) == {"hadostrom tt", "terrence hh"} and names.forms("Heron Valley Clinic") == ["heron **"]
+    assert "hadostrom tt" in names.forms("T. Hadostrom") and "linnik **" in names.forms("Linnik OA") and len(names.forms("Harimere")) == 26
+    assert names.forms(None) == names.forms(" .,") == []
+    long = "Wolfeschlegelsteinhausenbergerdorff" * 3
+    data = [(1, "Terrence Hadostrom", "I1", None, None, None), (2, "Terrence Hadostorm", "I1", None, None, None), (3, f"Peter {long}a", "I2", None, None, None), (4, f"Peter {long}zzzzz", None, None, "2125550100", None), (5, f"Peter {long}b", "I2", None, "2125550100", None)]
+    assert variants(rows(spark, data)) == [(1, 2), (3, 5)]
+    got = {r.id: r.entity for r in names.memberships(rows(spark, data), ["ident"], ["dob", "phone"]).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 5: 3}
+
+
 def test_empty_names(spark):
     assert variants(rows(spark, [])) == []
 
