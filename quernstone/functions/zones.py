@@ -96,6 +96,28 @@ def _block(raw: bytes, at: int, wide: bool) -> tuple[list[int], list[tuple[int,
     return times, named, index, at
 
 
+#: Changes that a rule gives after a time; many zones share one.
+_RULED: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
+
+
+def _changes(zone: zoneinfo.ZoneInfo, start: int) -> list[tuple[int, int]]:
+    """(time, offset from then on) of all changes of a zone after ``start`` up to LAST_YEAR."""
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    offset = lambda s: int((epoch + dt.timedelta(seconds=s)).astimezone(zone).utcoffset().total_seconds())
+    stop = int(dt.datetime(LAST_YEAR + 1, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    step, known, found = 14 * 86400, offset(start), []
+    for s in range(start, stop, step):
+        after = offset(s + step)
+        if after != known:
+            low, high = s, s + step
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if offset(mid) == known else (low, mid)
+            known = after
+            found.append((high, known))
+    return found
+
+
 @lru_cache(maxsize=None)
 def zone_table(key: str) -> ZoneTable:
     raw = _file(key)
@@ -103,23 +125,16 @@ def zone_table(key: str) -> ZoneTable:
         raise zoneinfo.ZoneInfoNotFoundError(key)
     times, named, index, at = _block(raw, 0, False)
     if raw[4:5] >= b"2":
-        times, named, index, _ = _block(raw, at, True)
+        times, named, index, at = _block(raw, at, True)
     offsets = [named[index[0]][0] if index and not named else named[0][0], *(named[i][0] for i in index)]
-    zone = zoneinfo.ZoneInfo(key)
-    # the years that the zone's rule governs: find the hour in which the offset changes
-    at_utc = lambda s: int((dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)).astimezone(zone).utcoffset().total_seconds())
-    start = max(times[-1] if times else 0, int(dt.datetime(2037, 1, 1, tzinfo=dt.timezone.utc).timestamp()))
-    stop = int(dt.datetime(LAST_YEAR + 1, 1, 1, tzinfo=dt.timezone.utc).timestamp())
-    step, known = 14 * 86400, at_utc(start)
-    for s in range(start, stop, step):
-        if at_utc(s + step) != known:
-            low, high = s, s + step
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if at_utc(mid) == known else (low, mid)
-            known = at_utc(s + step)
-            times.append(high)
-            offsets.append(known)
+    footer = raw[at:].strip(b"\n") if raw[4:5] >= b"2" else b""
+    # years beyond the last transition follow the rule at the end of the file; without a comma it has no changes
+    if b"," in footer:
+        rule = (footer, times[-1] if times else 0)
+        if rule not in _RULED:
+            _RULED[rule] = _changes(zoneinfo.ZoneInfo(key), rule[1])
+        times += [t for t, _ in _RULED[rule]]
+        offsets += [o for _, o in _RULED[rule]]
     before, after, utc = np.array(offsets[:-1], "int64"), np.array(offsets[1:], "int64"), np.array(times, "int64")
     walls = np.maximum.accumulate(utc + np.maximum(before, after)) if len(utc) else utc
     return ZoneTable(walls, np.array(offsets, "int64"), {n: o for o, n in named if n.isalpha()})

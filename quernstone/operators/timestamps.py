@@ -1,19 +1,20 @@
 """Mixed timestamp formats and zones to one unambiguous form.
 
-Each text is reduced to a shape mask (every digit ``9``, every run of letters ``A``). A distinct mask is mapped to a
-parser once per process; all texts of a mask are then converted together: fields to integer arrays, calendar checks
-and day numbers by array arithmetic, zones through the transition tables of :mod:`quernstone.functions.zones`.
+Each text is reduced to a shape mask (every digit ``9``, every run of letters ``A``) and its words. A distinct mask is
+mapped to a parser once per process, which says where in the mask each field stands. All texts of a mask have their
+digits at the same places and are converted together: fields are columns of one array of characters, calendar checks
+and day numbers array arithmetic, zones come from the transition tables of :mod:`quernstone.functions.zones`.
 
 Results for odd input: null, blank, null words, impossible dates (30 February), partial dates (year and month),
 unknown month or zone names and masks without a parser give null. An all-numeric date with the year last needs a
 ``date_order`` (``MDY`` or ``DMY``); without one it is read only if one of its parts exceeds 12. Texts of any length
-are accepted; those over 64 characters give null without being parsed.
+are read; no form has a mask of more than ``LONGEST_MASK`` characters, however long its words are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.zones import ABBREVIATIONS, ZoneTable, all_zones
 
-MAX_LENGTH = 64
+LONGEST_MASK = 120
 
 #: Month names of English, Spanish and German; three letters are enough where they are unambiguous.
 MONTHS = {
@@ -45,37 +46,51 @@ MONTHS = {
     for name in names.split()
 }
 
-_WORD = r"[^\W\d_]+"
-_TIME = rf"(?P<H>\d{{1,2}}):?(?P<M>\d{{2}})(?::?(?P<S>\d{{2}})(?:[.,](?P<f>\d{{1,9}}))?)?(?:\s?(?P<x>{_WORD}))?"
-_ZONE = rf"(?:\s?(?P<sign>[+-])(?P<oh>\d{{2}}):?(?P<om>\d{{2}})|\s(?P<region>{_WORD}(?:[/_-]{_WORD})+))?"
-#: In a mask the T of ISO 8601 reads A.
-_TAIL = rf"(?:(?:[TA ]|,\s){_TIME}{_ZONE})?"
+#: What fields look like in a mask, where a digit is a 9 and a word an A.
+_WORD = "A"
+_TIME = rf"(?P<H>9{{1,2}}):?(?P<M>9{{2}})(?::?(?P<S>9{{2}})(?:[.,](?P<f>9{{1,9}}))?)?(?:\s?(?P<x>{_WORD}))?"
+_ZONE = rf"(?:\s?(?P<sign>[+-])(?P<oh>9{{2}}):?(?P<om>9{{2}})|\s(?P<region>{_WORD}(?:[/_-]{_WORD}){{1,8}}))?"
+_TAIL = rf"(?:(?:(?P<t>A)| |,\s){_TIME}{_ZONE})?"
 _DATES = {
-    "ymd": r"(?P<Y>\d{4})(?P<sep>[-/.])(?P<m>\d{1,2})(?P=sep)(?P<d>\d{1,2})" + _TAIL,
-    "numeric": r"(?P<p>\d{1,2})(?P<sep>[-/.])(?P<q>\d{1,2})(?P=sep)(?P<Y>\d{4}|\d{2})" + _TAIL,
-    "month_first": rf"(?:(?P<wd>{_WORD})[.,]?\s)?(?P<mon>{_WORD})\.?\s(?P<d>\d{{1,2}})(?:{_WORD})?,?\s(?P<Y>\d{{4}})" + _TAIL,
-    "day_first": rf"(?:(?P<wd>{_WORD})[.,]?\s)?(?P<d>\d{{1,2}})\.?[-\s]?(?P<mon>{_WORD})\.?[-,\s]*(?P<Y>\d{{4}}|\d{{2}})" + _TAIL,
-    "day_de_month": rf"(?P<d>\d{{1,2}})\s(?P<w1>{_WORD})\s(?P<mon>{_WORD})\s(?P<w2>{_WORD})\s(?P<Y>\d{{4}})" + _TAIL,
-    "compact": rf"(?P<Y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})(?:[TA]?{_TIME}{_ZONE})?",
-    "ordinal": r"(?P<Y>\d{4})-(?P<doy>\d{3})",
-    "serial": r"(?P<serial>\d{5})",
-    "epoch": r"(?P<epoch>\d{10}|\d{13})",
+    "ymd": r"(?P<Y>9{4})(?P<sep>[-/.])(?P<m>9{1,2})(?P=sep)(?P<d>9{1,2})" + _TAIL,
+    "numeric": r"(?P<p>9{1,2})(?P<sep>[-/.])(?P<q>9{1,2})(?P=sep)(?P<Y>9{4}|9{2})" + _TAIL,
+    "month_first": rf"(?:(?P<wd>{_WORD})[.,]?\s)?(?P<mon>{_WORD})\.?\s(?P<d>9{{1,2}})(?:{_WORD})?,?\s(?P<Y>9{{4}})" + _TAIL,
+    "day_first": rf"(?:(?P<wd>{_WORD})[.,]?\s)?(?P<d>9{{1,2}})\.?[-\s]?(?P<mon>{_WORD})\.?[-,\s]{{0,4}}(?P<Y>9{{4}}|9{{2}})" + _TAIL,
+    "day_de_month": rf"(?P<d>9{{1,2}})\s(?P<w1>{_WORD})\s(?P<mon>{_WORD})\s(?P<w2>{_WORD})\s(?P<Y>9{{4}})" + _TAIL,
+    "compact": rf"(?P<Y>9{{4}})(?P<m>9{{2}})(?P<d>9{{2}})(?:(?P<t>A)?{_TIME}{_ZONE})?",
+    "ordinal": r"(?P<Y>9{4})-(?P<doy>9{3})",
+    "serial": r"(?P<serial>9{5})",
+    "epoch": r"(?P<epoch>9{10}|9{13})",
 }
 #: Order matters where a mask fits two rules: eight digits are a date, ten or thirteen an epoch.
 _ORDER = ("ymd", "numeric", "ordinal", "serial", "epoch", "compact", "month_first", "day_first", "day_de_month")
 _COMPILED = {k: re.compile(v) for k, v in _DATES.items()}
 _DIGITS = {ord(c): "9" for c in "0123456789"}
-_LETTERS = re.compile(_WORD)
+_LETTERS = re.compile(r"([^\W\d_]+)")
+
+
+def taken_apart(text: str) -> tuple[str, list[str]]:
+    """The text with A for each word, and the words."""
+    parts = _LETTERS.split(text)
+    return "A".join(parts[::2]), parts[1::2]
 
 
 def shape_mask(text: str) -> str:
-    return _LETTERS.sub("A", text.translate(_DIGITS))
+    return taken_apart(text)[0].translate(_DIGITS)
 
 
 @lru_cache(maxsize=4096)
-def parser_of(mask: str) -> tuple[str, re.Pattern] | None:
-    """The rule whose pattern fits the mask: as 9 is a digit and A a word, patterns apply to masks as to texts."""
-    return next(((k, _COMPILED[k]) for k in _ORDER if _COMPILED[k].fullmatch(mask)), None)
+def _parser(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
+    for kind in _ORDER:
+        found = _COMPILED[kind].fullmatch(mask)
+        if found is not None:
+            return kind, {name: found.span(name) for name, value in found.groupdict().items() if value is not None}
+    return None
+
+
+def parser_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
+    """The rule that the mask fits, and where its fields stand."""
+    return _parser(mask) if len(mask) <= LONGEST_MASK else None
 
 
 def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +107,48 @@ def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.n
     return era * 146097 + of_era * 365 + of_era // 4 - of_era // 100 + day - 719468, ok
 
 
-def _ints(found: list, name: str, default: int = 0) -> np.ndarray:
-    return np.fromiter((int(v) if m is not None and (v := m.group(name)) is not None else default for m in found), "int64", len(found))
+class Fields:
+    """The fields of all texts of one mask: digits by column, words by their place among the words."""
+
+    def __init__(self, mask: str, at: dict[str, tuple[int, int]], apart: list[tuple[str, list[str]]]):
+        self.mask, self.at, self.apart, self.n = mask, at, apart, len(apart)
+        self.codes = np.array([shape for shape, _ in apart]).view("uint32").reshape(self.n, len(mask))
 
+    def width(self, name: str) -> int:
+        a, b = self.at.get(name, (0, 0))
+        return b - a
 
-def _texts(found: list, name: str) -> list[str]:
-    return [(m.group(name) or "") if m is not None else "" for m in found]
+    def number(self, name: str, default: int = 0) -> np.ndarray:
+        if name not in self.at:
+            return np.full(self.n, default, "int64")
+        a, b = self.at[name]
+        return (self.codes[:, a:b].astype("int64") - 48) @ 10 ** np.arange(b - a - 1, -1, -1)
+
+    def literal(self, name: str) -> str:
+        a, b = self.at.get(name, (0, 0))
+        return self.mask[a:b]
+
+    def words(self, name: str, form: Callable[[str], str]) -> np.ndarray:
+        if name not in self.at:
+            return np.full(self.n, "", object)
+        k = self.mask[: self.at[name][0]].count("A")
+        return np.array([form(words[k]) for _, words in self.apart], object)
+
+    def mapped(self, name: str, value: Callable[[str], int], default: int = 0) -> np.ndarray:
+        """A number for each text's word; each distinct word is looked at once."""
+        if name not in self.at:
+            return np.full(self.n, default, "int64")
+        words = self.words(name, str)
+        known = {w: int(value(w)) for w in set(words.tolist())}
+        return np.fromiter((known[w] for w in words), "int64", self.n)
+
+    def region(self) -> np.ndarray | None:
+        """Zone names as written, in lower case."""
+        if "region" not in self.at:
+            return None
+        a, b = self.at["region"]
+        k, marks = self.mask[:a].count("A"), self.mask[a:b].split("A")[1:]
+        return np.array(["".join(w + m for w, m in zip(words[k:], marks)).lower() for _, words in self.apart], object)
 
 
 class Converter:
@@ -111,83 +162,78 @@ class Converter:
         n = len(texts)
         micros, valid = np.zeros(n, "int64"), np.zeros(n, bool)
         by_mask: dict[str, list[int]] = {}
-        for i, text in enumerate(texts):
-            if text and len(text) <= MAX_LENGTH:
-                by_mask.setdefault(shape_mask(text), []).append(i)
+        apart = [taken_apart(text) for text in texts]
+        for i, (shape, _) in enumerate(apart):
+            if shape:
+                by_mask.setdefault(shape.translate(_DIGITS), []).append(i)
+        orders, zones = np.array(orders, object), np.array([z.lower() if isinstance(z, str) else "" for z in zones], object)
         for mask, rows in by_mask.items():
             parser = parser_of(mask)
             if parser is not None:
                 at = np.array(rows)
-                value, ok = self._group(parser, [texts[i] for i in rows], [orders[i] for i in rows], [zones[i] for i in rows], old[at], instant)
-                micros[at], valid[at] = value, ok
+                fields = Fields(mask, parser[1], [apart[i] for i in rows])
+                micros[at], valid[at] = self._group(parser[0], fields, orders[at], zones[at], old[at], instant)
         return micros, valid
 
-    def _group(self, parser, texts, orders, zones, old, instant):
-        kind, pattern = parser
-        found = [pattern.fullmatch(t) for t in texts]
-        ok = np.array([m is not None for m in found])
+    def _group(self, kind: str, fields: Fields, orders: np.ndarray, zones: np.ndarray, old: np.ndarray, instant: bool) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.ones(fields.n, bool)
         if kind == "epoch":
-            value = _ints(found, "epoch")
-            seconds = np.where(value >= 10**12, value * 1000, value * 1_000_000)
-            return (seconds if instant else seconds // 86_400_000_000 * 86_400_000_000), ok & instant
+            value = fields.number("epoch")
+            micros = value * (1000 if fields.width("epoch") == 13 else 1_000_000)
+            return micros, ok & instant
         if kind == "serial":
-            return (_ints(found, "serial") - 25569) * 86_400_000_000, ok & (_ints(found, "serial") > 0) & (not instant)
-        year = _ints(found, "Y")
-        if kind in ("numeric", "day_first"):
-            short = np.array([len(y) == 2 for y in _texts(found, "Y")])
-            year = np.where(short, year + np.where(old, 1900, 2000), year)
+            return (fields.number("serial") - 25569) * 86_400_000_000, (fields.number("serial") > 0) & (not instant)
+        year = fields.number("Y")
+        if fields.width("Y") == 2:
+            year = year + np.where(old, 1900, 2000)
         if kind == "ordinal":
             day, _ = _days(year, np.ones_like(year), np.ones_like(year))
-            doy, leap = _ints(found, "doy"), (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-            return (day + doy - 1) * 86_400_000_000, ok & (doy >= 1) & (doy <= 365 + leap) & (not instant)
+            doy, leap = fields.number("doy"), (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+            return (day + doy - 1) * 86_400_000_000, (doy >= 1) & (doy <= 365 + leap) & (not instant)
         if kind == "numeric":
-            p, q = _ints(found, "p"), _ints(found, "q")
-            day_first = np.array([o == "DMY" for o in orders]) | (np.array([o not in ("DMY", "MDY") for o in orders]) & (p > 12))
-            known = np.array([o in ("DMY", "MDY") for o in orders]) | (p > 12) | (q > 12)
+            p, q = fields.number("p"), fields.number("q")
+            stated = (orders == "DMY") | (orders == "MDY")
+            day_first = np.where(stated, orders == "DMY", p > 12)
             month, day = np.where(day_first, q, p), np.where(day_first, p, q)
-            ok &= known
+            ok &= stated | (p > 12) | (q > 12)
         else:
-            day = _ints(found, "d")
-            month = _ints(found, "m") if kind in ("ymd", "compact") else np.array([MONTHS.get(w.lower(), 0) for w in _texts(found, "mon")], "int64")
+            day = fields.number("d")
+            month = fields.number("m") if kind in ("ymd", "compact") else fields.mapped("mon", lambda w: MONTHS.get(w.lower(), 0))
             if kind == "day_de_month":
-                ok &= np.array([a.lower() == b.lower() == "de" for a, b in zip(_texts(found, "w1"), _texts(found, "w2"))], bool)
+                ok &= (fields.mapped("w1", lambda w: w.lower() == "de") & fields.mapped("w2", lambda w: w.lower() == "de")).astype(bool)
+        ok &= fields.mapped("t", lambda w: w in ("T", "t"), 1).astype(bool)
         days, real = _days(year, month, day)
         ok &= real
         if not instant:
             return days * 86_400_000_000, ok
-        hour, minute, second = (_ints(found, k, -1 if k == "H" else 0) for k in ("H", "M", "S"))
-        word = [w.upper() for w in _texts(found, "x")]
-        meridian = np.array([w in ("AM", "PM") for w in word])
-        ok &= (hour >= 0) & (minute < 60) & (second < 60) & np.where(meridian, (hour >= 1) & (hour <= 12), hour < 24)
-        hour = np.where(meridian, hour % 12 + 12 * np.array([w == "PM" for w in word]), hour)
-        fraction = np.fromiter((int((f + "000000")[:6]) for f in _texts(found, "f")), "int64", len(found))
+        hour, minute, second = fields.number("H", -1), fields.number("M"), fields.number("S")
+        half = fields.mapped("x", lambda w: {"AM": 1, "PM": 2}.get(w.upper(), 0))
+        ok &= (hour >= 0) & (minute < 60) & (second < 60) & np.where(half > 0, (hour >= 1) & (hour <= 12), hour < 24)
+        hour = np.where(half > 0, hour % 12 + 12 * (half == 2), hour)
         wall = days * 86400 + hour * 3600 + minute * 60 + second
+        fraction = fields.number("f") * 1_000_000 // 10 ** fields.width("f")
+        sign = fields.literal("sign")
+        if sign:
+            # an offset with a word that isn't UTC or GMT (or AM, PM) contradicts itself
+            ok &= fields.mapped("x", lambda w: w.upper() in ("UTC", "GMT", "AM", "PM"), 1).astype(bool)
+            utc = wall - (-1 if sign == "-" else 1) * (fields.number("oh") * 3600 + fields.number("om") * 60)
+            return utc * 1_000_000 + fraction, ok
         utc = wall.copy()
-        sign, oh, om = _texts(found, "sign"), _ints(found, "oh"), _ints(found, "om")
-        explicit = np.array([s != "" for s in sign])
-        offset = np.where(np.array([s == "-" for s in sign]), -1, 1) * (oh * 3600 + om * 60)
-        regions = _texts(found, "region")
-        groups: dict[str, list[int]] = {}
-        for i, (w, region, zone) in enumerate(zip(word, regions, zones)):
-            named = w not in ("", "AM", "PM")
-            if explicit[i]:
-                ok[i] &= not named or w in ("UTC", "GMT")
-                utc[i] = wall[i] - offset[i]
-            elif region:
-                groups.setdefault(region.lower(), []).append(i)
-            elif named:
-                local = self.zones.get((zone or "").lower())
-                seconds = local.abbreviations.get(w) if local else None
-                minutes = ABBREVIATIONS.get(w)
-                if seconds is None and minutes is None:
-                    ok[i] = False
+        names = fields.region()
+        words = np.where(half > 0, "", fields.words("x", str.upper)) if names is None else np.full(fields.n, "", object)
+        places = zones if names is None else names
+        for word, zone in {*zip(words.tolist(), places.tolist())}:
+            at = np.flatnonzero((words == word) & (places == zone))
+            table = self.zones.get(zone)
+            if word:
+                seconds = table.abbreviations.get(word) if table else None
+                if seconds is None and word in ABBREVIATIONS:
+                    seconds = ABBREVIATIONS[word] * 60
+                if seconds is None:
+                    ok[at] = False
                 else:
-                    utc[i] = wall[i] - (seconds if seconds is not None else minutes * 60)
-            else:
-                groups.setdefault((zone or "").lower(), []).append(i)
-        for zone, rows in groups.items():
-            table, at = self.zones.get(zone), np.array(rows)
-            if table is None:
+                    utc[at] = wall[at] - seconds
+            elif table is None:
                 ok[at] = False
             else:
                 utc[at] = table.to_utc(wall[at])

@@ -46,6 +46,14 @@ def test_instants():
     assert i("2024-01-01 10:00:00", zone="Nowhere/None") is None and i("2024-01-01 10:00 XYZ") is None
 
 
+def test_long_texts():
+    for zone in ("America/Argentina/ComodRivadavia", "america/north_dakota/new_salem"):
+        text = f"Wednesday, September 30, 2020, 11:15:23.123456789 PM {zone}"
+        assert len(text) > 70 and convert(text, instant=True, zone=None) == {"A": "2020-10-01T02:15:23.123456Z", "a": "2020-10-01T04:15:23.123456Z"}[zone[0]]
+    assert convert("2020-09-30 " * 50_000) is None and convert("Septemb" + "e" * 5000 + "r 30, 2020") is None
+    assert convert("2024-01-02X03:04:05", instant=True) is None and convert("٢٠٢٤-01-02") is None and convert("2024-01-02T03:04:05", instant=True) == "2024-01-02T08:04:05.000000Z"
+
+
 def test_repeated_and_skipped_times():
     assert convert("2024-11-03 01:30:00", instant=True) == "2024-11-03T05:30:00.000000Z"  # the first of two
     assert convert("2024-03-10 02:30:00", instant=True) == "2024-03-10T07:30:00.000000Z"  # the offset before the change
