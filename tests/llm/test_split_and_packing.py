@@ -73,6 +73,19 @@ def test_local_search_never_gets_worse():
         assert len(after) >= -(-sum(sizes) // 100)
 
 
+def test_exchanges_beat_best_fit_where_sizes_are_hard():
+    """Sizes of a third to a half: best fit alone leaves space that exchanges fill; the search ends where none is left."""
+    rnd = random.Random(11)
+    sizes = [rnd.randint(300, 1000) for _ in range(1500)]
+    first, after = packing.first_fit(sizes, 2048), packing.pack(sizes, 2048)
+    assert len(after) < len(first) and sorted(i for b in after for i in b) == list(range(len(sizes)))
+    square = lambda bins: sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    assert square(packing.improve([list(b) for b in after], sizes, 2048)) == square(after)
+    # many items of one size, all in bins too full to give one away, hide no partner further on
+    bins = packing.improve([[0], *([k, k + 1] for k in range(1, 201, 2)), [201], [202, 203]], [90, *[49, 50] * 100, 10, 20, 20], 100)
+    assert any(sorted(b) == [0, 201] for b in bins)
+
+
 def test_exchange_empties_a_bin():
     # two half-full bins beside one that an exchange fills up
     bins = packing.improve([[0, 1], [2, 3], [4]], [5, 3, 6, 2, 2], 10)
