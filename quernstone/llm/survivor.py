@@ -2,8 +2,8 @@
 
 Claims are (group, field, value, source, time). Estimating what is true and how reliable a source is take turns: a
 value is supported by the sum of the weights of the sources that claim it, a source's reliability is the share of its
-claims that won, and its weight the log odds of that share. The turns end when no source's reliability moves by more
-than ``TOLERANCE``, or after ``ROUNDS``.
+claims that won, and its weight the log odds of that share. The turns end when the elected values are those of a turn
+before: mostly the last one, else the turns go round in a circle. There are finitely many elections, so they do end.
 
 ``recency`` settles how claims of one group and field compete. ``strict``: only the latest usable claims stand for
 election, the weighted vote decides between them. ``none``: all usable claims stand. Ties end with the smallest value.
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from quernstone.session import checkpointed
 
-ROUNDS = 6
-TOLERANCE = 0.01
 #: Chart numbers that identify nobody, in upper case.
 UNKNOWN_IDS = ("", "TEMP", "UNK", "UNKNOWN", "PENDING", "N/A", "NA", "NONE", "NULL", "NAN", "TBD", "-", "--", "?", "0")
 _BLANKS = " \t\r\n"
@@ -48,7 +46,7 @@ def complete_address(col: Column) -> Column:
     return F.when(plain.rlike(r"(?i)^\d+[a-z]?\s+[^\d\s,][^,]*\s+[^,\s]+.*[,\s]\s*\S.*,?\s+[a-z]{2}\s+\d{5}(?:-\d{4})?$") & plain.rlike(r"^\d+\S*(?:[\s,]+\S+){5,}$"), plain)
 
 
-def discover(claims: DataFrame, recency: str = "strict", rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def discover(claims: DataFrame, recency: str = "strict") -> DataFrame:
     """claims: group_id, field_name, value, source, claimed_at -> group_id, field_name, kept_value, support."""
     if recency not in ("strict", "none"):
         raise ValueError("recency must be strict or none")
@@ -59,9 +57,15 @@ def discover(claims: DataFrame, recency: str = "strict", rounds: int = ROUNDS, t
     latest = counted.groupBy("group_id", "field_name").agg(F.max("claimed_at").alias("latest"))
     standing = F.col("claimed_at").eqNullSafe(F.col("latest")) if recency == "strict" else F.lit(True)
     votes = checkpointed(counted.join(latest, ["group_id", "field_name"]).withColumn("stands", standing).drop("latest", "claimed_at"))
-    weights = votes.select("source").distinct().withColumn("share", F.lit(0.8)).withColumn("weight", F.lit(1.0))
-    for turn in range(rounds):
-        won = _elect(votes, weights)
+    weights = votes.select("source").distinct().withColumn("weight", F.lit(1.0))
+    seen = set()
+    while True:
+        won = checkpointed(_elect(votes, weights))
+        key = F.xxhash64("group_id", "field_name", "kept_value")
+        sign = tuple(won.agg(F.count("*"), F.bit_xor(key), F.sum(F.pmod(key, F.lit(1 << 31)))).first())
+        if sign in seen:
+            return won
+        seen.add(sign)
         share = (
             votes.join(won.select("group_id", "field_name", "kept_value"), ["group_id", "field_name"])
             .groupBy("source")
@@ -69,12 +73,7 @@ def discover(claims: DataFrame, recency: str = "strict", rounds: int = ROUNDS, t
             .select("source", (F.col("right") / F.col("claims")).alias("share"))
         )
         # log odds, kept positive so that no source votes against its own claims
-        renewed = checkpointed(share.withColumn("weight", F.greatest(F.log(F.col("share") / (1 - F.col("share"))), F.lit(0.05))))
-        moved = renewed.join(weights.select("source", F.col("share").alias("old")), "source").agg(F.max(F.abs(F.col("share") - F.col("old")))).first()[0]
-        weights = renewed
-        if moved is None or moved <= tolerance:
-            break
-    return _elect(votes, weights)
+        weights = share.select("source", F.greatest(F.log(F.col("share") / (1 - F.col("share"))), F.lit(0.05)).alias("weight"))
 
 
 def _elect(votes: DataFrame, weights: DataFrame) -> DataFrame:

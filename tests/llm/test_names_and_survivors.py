@@ -135,6 +135,21 @@ def test_unreliable_sources_lose_ties(spark):
     assert truth(claims(spark, data))[(99, "phone")] == "right"
 
 
+def test_votes_against_planted_reliability(spark):
+    """Few reliable sources against many careless ones that copy an error: weighted votes are right more often than counts."""
+    rnd = random.Random(2)
+    good, bad = {"A": 0.95, "B": 0.95, "C": 0.9}, {"X": 0.35, "Y": 0.35, "Z": 0.35, "V": 0.3}
+    data, majority = [], 0
+    for g in range(400):
+        said = {s: "true" if rnd.random() < r else rnd.choice(["wrong", "wrong", "a", "b"]) for s, r in {**good, **bad}.items()}
+        data += [(g, "phone", v, s, 1) for s, v in said.items()]
+        counts = {v: list(said.values()).count(v) for v in set(said.values())}
+        majority += max(sorted(counts), key=lambda v: counts[v]) == "true"
+    got = truth(claims(spark, data), recency="none")
+    right = sum(v == "true" for v in got.values())
+    assert right >= 395 and right > majority + 10, (right, majority)
+
+
 def test_usable_values(spark):
     phones = {"(614) 555-6308": "6145556308", "+1 614 555 6308": "6145556308", "614.S55.6308": None, "555-6308": None, "999-999-9999": None, "614 555 63": None, "none": None, "": None}
     df = spark.createDataFrame([(k,) for k in phones], "p string")
