@@ -1,17 +1,21 @@
 """Personal data in free text: found by anchors, bounded by local parsers, replaced by typed placeholders.
 
-An Aho-Corasick automaton finds at-signs and their spellings, schemes, and cues of identifiers, telephones and
-persons in one pass over the lower-cased text; number runs and postal codes are anchors too. At each anchor a
-deterministic parser expands to the value's boundaries and validates it. Where finds overlap, the order is e-mail,
-address, identifier, telephone, name; within one kind the longer one stays.
+One Aho-Corasick automaton runs over the lower-cased text. Its words are at-signs and their spellings, schemes, cues of
+identifiers and telephones, number joints (a digit, a mark, a digit), spelled-out digits, street words and state codes,
+given names, and words that stand before or after persons. Only at such an anchor a deterministic parser looks: it expands
+to the value's boundaries and validates its form. Strong cues (titles, roles, ``signed by``) vouch for a name of one
+word; after or before weak ones (prepositions, verbs) a name has two words or more, none of them an ordinary one.
 
+Where finds overlap, the order is e-mail, address, identifier, telephone, name; within one kind the longer one stays.
 Null gives no find and stays null; empty text gives none. Whole texts are read, whatever their length. The placeholder
 is the kind in square brackets; all other characters stay unchanged. Equal texts of a batch are parsed once.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -23,7 +27,7 @@ KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
 # --- e-mail ---------------------------------------------------------------------------------------------------------
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
-_LOCAL = re.compile(rf"[^\W_][\w+%-]*(?:{_DOT}[\w+%-]+)*$")
+_LOCAL = re.compile(rf"[^\W_][\w+%'’-]*(?:{_DOT}[\w+%-]+)*$")
 _DOMAIN = re.compile(rf"[^\W_][\w-]*(?:{_DOT}[^\W_][\w-]*)*?{_DOT}[^\W\d_]{{2,}}(?!\w)(?:{_DOT}[^\W\d_]{{2,}}(?!\w))*")
 _AT_RE = re.compile(_AT, re.I)
 
@@ -44,40 +48,62 @@ def _email(text: str, at: int) -> tuple[int, int] | None:
 
 
 # --- identifiers ----------------------------------------------------------------------------------------------------
+#: Forms that tell an identifier by themselves.
 _SHAPES = re.compile(
-    r"(?<![\w-])(?:(?P<plan>[A-Z]{3}-?\d{4}-?\d{4}-?\d{2}|[A-Z]{3}\d{8,9}(?:-\d)?|[A-Z]{3}-\d{9}-\d)"
+    r"(?:(?P<plan>[A-Z]{3}-?\d{4}-?\d{4}-?\d{2}|[A-Z]{3}\d{8,9}(?:-\d)?|[A-Z]{3}-\d{9}-\d)"
     r"|(?P<licence>[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]\d{11})"
-    r"|(?P<passport>[A-Z]\d{8})"
-    r"|(?P<social>\d{3}(?:-\d{2}-|\s\d{2}\s)\d{4})"
-    r"|(?P<bare>\d{6,10}))(?![\w-]*\w)"
+    r"|(?P<social>\d{3}(?:-\d{2}-|\s\d{2}\s)\d{4}))(?![\w-]*\w)"
 )
+#: What a cue may vouch for: up to three letters and five digits or more, hyphens between.
+_CUED = re.compile(r"(?:[A-Z]{3}-?\d{4}-?\d{4}-?\d{2}|\d{3}\s\d{2}\s\d{4}|[A-Z]{0,3}-?\d(?:-?\d){4,11}[A-Z]?)(?![\w-]*\w)")
+_FILLER = re.compile(r"[\s.:#=,()-]{0,6}(?:(?:is|no|nr|num|number|numbers|id|reads|card|holder|mrn|the|for|with|as|and|licence|license|medical|record|shows|security|confirmed)\b[\s.:#=,()-]{0,6}){0,4}", re.I)
 #: Words before a number that make it an identifier of a person.
 ID_CUES = (
-    "ssn", "ss", "social", "soc. sec.", "social security", "form shows", "identity confirmed", "mrn", "med rec", "medical record", "hospital number", "hospital no",
+    "ssn", "ss", "social", "soc. sec.", "soc sec", "social security", "mrn", "med rec", "medical record", "hospital number", "hospital no",
     "chart", "member", "subscriber", "insured under", "coverage card", "policy holder", "licence", "license", "dl", "photo id", "passport", "ppt", "travel document",
-    "patient id", "patient no", "insurance", "identity",
+    "patient id", "patient no", "insurance", "identity", "driver", "driver's", "id card", "mbi", "medicare", "medicaid", "tax id", "itin", "form",
 )
 #: Words that make it a number of something else.
 NOT_ID = ("order", "serial", "claim", "lot", "batch", "ndc", "job", "ref", "invoice", "specimen", "score sheet", "device", "code", "account", "npi", "accession", "case", "sheet")
-_CUE_BEFORE = re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, sorted(ID_CUES, key=len, reverse=True))) + r")(?![a-z])[\s.:#=,()-]*(?:(?:is|no|nr|number|id|reads|card|holder|mrn|the|for)\b[\s.:#=,()-]*)*$", re.I)
 _OTHER_BEFORE = re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, NOT_ID)) + r")\b[\s.:#=,()-]*(?:(?:no|nr|number|id|serial|is)\b[\s.:#=,()-]*)*$", re.I)
 
 
-def _identifier(text: str, m: re.Match) -> bool:
-    before = text[max(0, m.start() - 40) : m.start()]
-    if _OTHER_BEFORE.search(before):
-        return False
-    if m.lastgroup == "bare":
-        return 8 <= len(m.group()) <= 9 and _CUE_BEFORE.search(before) is not None
-    if m.lastgroup in ("passport", "plan"):
-        return _CUE_BEFORE.search(before) is not None or m.lastgroup == "plan" and m.group().count("-") >= 2
-    return True
+def _other(text: str, at: int) -> bool:
+    """Whether the words before make it a number of something else."""
+    return _OTHER_BEFORE.search(text[max(0, at - 40) : at]) is not None
+
+
+def _identifier_by_form(text: str, at: int) -> tuple[int, int] | None:
+    """The identifier around a number joint: its form tells it."""
+    start = at
+    while start > 0 and at - start < 16 and (text[start - 1].isalnum() or text[start - 1] in "-"):
+        start -= 1
+    m = _SHAPES.match(text, start)
+    if m is None and text[at : at + 1].isdigit():  # a social security number with blanks
+        m = _SHAPES.match(text, max(start - 4, 0)) if start >= 4 and text[start - 1].isspace() else None
+    if m is None or m.end() <= at or _other(text, m.start()) or m.start() > 0 and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "-"):
+        return None
+    if m.lastgroup == "plan" and m.group().count("-") < 2:
+        return None
+    return m.span()
+
+
+def _identifier_by_cue(text: str, end: int, cue: str) -> tuple[int, int] | None:
+    """The identifier after a cue that ends at ``end``, with nothing but fillers between."""
+    m = _FILLER.match(text, end)
+    found = _CUED.match(text, m.end())
+    if found is None or m.end() == end or _other(text, m.end()):
+        return None
+    digits = sum(c.isdigit() for c in found.group())
+    if digits < (6 if cue not in ("form", "identity", "insurance", "chart", "social", "driver") else 8):
+        return None
+    return found.span()
 
 
 # --- telephone ------------------------------------------------------------------------------------------------------
 _DIGIT = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 _PHONE = re.compile(
-    r"(?<![\w$#.-])(?<![-/]\s)(?:"
+    r"(?:"
     r"(?P<full>(?:\+?1[\s.-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4})"
     r"|(?P<slash>\d{3}\s?/\s?\d{3}\s?\d{2}\s?\d{2})"
     r"|(?P<abroad>\+\d{1,3}(?:[\s.-]?\(?\d{1,5}\)?){2,5})"
@@ -86,19 +112,51 @@ _PHONE = re.compile(
     r"(?P<ext>,?\s?(?:x|ext\.?|extension)\s?\d{1,6})?(?![\w/]|[-.]\d)",
     re.I,
 )
-_SPOKEN = re.compile(rf"\b(?:{_DIGIT})(?:[\s,-]+(?:{_DIGIT})){{6,10}}\b", re.I)
-_PHONE_CUE = re.compile(r"(?:\b(?:phone|telephone|tel|ph|cell|mobile|call|back on|fax|home|work|message at|ring|reach|under|number changed to|dial|text|contact|pager|whatsapp|office)\b|☎)[\w\s.:#,/()-]{0,24}$", re.I)
+_SPOKEN = re.compile(rf"(?:{_DIGIT})(?:[\s,-]+(?:{_DIGIT})){{6,10}}\b", re.I)
+#: Words before a telephone number.
+PHONE_CUES = "phone telephone tel ph cell mobile call fax home work message ring reach under number dial text contact pager whatsapp office landline sms back".split()
+_PHONE_CUE = re.compile(r"(?:\b(?:" + "|".join(PHONE_CUES) + r")\b|☎)[\w\s.:#,/()-]{0,24}$", re.I)
 _RINGS = re.compile(r"\s*(?:rings|is the number|\((?:cell|home|work|mobile|mother|father|son|daughter|spouse|wife|husband|brother|sister)\))", re.I)
+_RUN = re.compile(r"[\s.:#,/()-]{0,4}(?:(?:at|on|is|no|number|changed|to|the|me|us|him|her|them|line|or)\b[\s.:#,/()-]{0,3}){0,4}")
+
 
+def _telephone(text: str, start: int) -> tuple[int, int] | None:
+    before = text[max(0, start - 2) : start]
+    if text[max(0, start - 7) : start].lower().endswith(("tel:", "callto:", "sms:")):
+        before = ""
+    if before and (before[-1].isalnum() or before[-1] in "_$#.-" or len(before) == 2 and before[0] in "-/" and before[1].isspace()):
+        return None
+    m = _PHONE.match(text, start)
+    if m is None or _other(text, start):
+        return None
+    kind = next(k for k in ("full", "slash", "abroad", "run", "local") if m.group(k))
+    if kind not in ("full", "slash", "abroad") and _PHONE_CUE.search(text[max(0, start - 40) : start]) is None and _RINGS.match(text, m.end()) is None:
+        return None
+    return m.span()
 
-def _telephone(text: str, m: re.Match) -> bool:
-    before = text[max(0, m.start() - 40) : m.start()]
-    if _OTHER_BEFORE.search(before):
-        return False
-    kind = m.lastgroup if m.lastgroup != "ext" else next(k for k in ("full", "slash", "abroad", "run", "local") if m.group(k))
-    if kind in ("full", "slash", "abroad"):
-        return True
-    return _PHONE_CUE.search(before) is not None or _RINGS.match(text, m.end()) is not None
+
+_BARE = re.compile(r"(?<![\w.-])(?:1?\d{10}|\d{3}[-.]\d{4})$")
+#: What stands after a telephone number.
+PHONE_TAILS = (" rings", " is the number", " (cell)", " (home)", " (work)", " (mobile)", " (mother)", " (father)", " (son)", " (daughter)", " (spouse)", " (wife)", " (husband)", " (brother)", " (sister)")
+
+
+def _telephone_before(text: str, at: int) -> tuple[int, int] | None:
+    m = _BARE.search(text[max(0, at - 16) : at])
+    return None if m is None else _telephone(text, at - len(m.group()))
+
+
+def _telephone_around(text: str, at: int) -> tuple[int, int] | None:
+    """The telephone number around a number joint: from the earliest start that makes one."""
+    start = at
+    while start > 0 and at - start < 14 and (text[start - 1].isdigit() or text[start - 1] in "+(). -/" and at - start < 13):
+        start -= 1
+    while start <= at:
+        if text[start].isdigit() or text[start] in "+(":
+            found = _telephone(text, start)
+            if found is not None and found[1] > at:
+                return found
+        start += 1
+    return None
 
 
 # --- address --------------------------------------------------------------------------------------------------------
@@ -107,7 +165,7 @@ _STATES = (
     "al ak az ar ca co ct de dc fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj nm ny nc nd oh ok or pa pr ri sc sd tn tx ut vt va wa wv wi wy".replace(" ", "|")
 )
 _POSTAL = re.compile(rf"(?<!\w)(?:(?:{_STATES}),?\s+\d{{5}}(?:-\d{{4}})?|[a-z]{{1,2}}\d{{1,2}}[a-z]?\s\d[a-z]{{2}}|(?:nsw|vic|qld|sa|wa|tas|nt|act)\s+\d{{4}}|\d{{6}})$", re.I)
-#: What a postal code ends with; cheap to search for.
+#: What a postal code ends with.
 _POSTAL_END = re.compile(r"\d(?:\d{3,5}(?:-\d{4})?|[A-Za-z]{2})(?!\w)")
 _STREET = (
     "street st avenue ave road rd lane ln drive dr court ct boulevard blvd way close place pl square sq terrace ter parade pde crescent cres highway hwy "
@@ -119,7 +177,10 @@ _ADDRESS = re.compile(
     r"(?:[,\s]+[^\W\d_][\w'’-]*){1,4}[,\s]+$",
     re.I,
 )
-_HOUSE = re.compile(r"(?<!\w)(?:\d{1,5}[A-Za-z]?\s|P\.?\s?O\.?\s?Box|Flat\s)", re.I)
+#: Without a street word: number, one to three words, town, and a state code with its postal code.
+_PLAIN_ADDRESS = re.compile(r"\d{1,5}[A-Za-z]?\s+(?:[^\W\d_][\w'’-]*\.?\s){0,2}[^\W\d_][\w'’-]*,(?:\s(?:apt|suite|ste|unit|floor|#)\.?\s?[\w-]+,)?(?:\s[^\W\d_][\w'’-]*){1,3},\s$", re.I)
+_HOUSE = re.compile(r"(?<!\w)(?:\d{1,5}[A-Za-z]?(?:[-/]\d+)?\s|P\.?\s?O\.?\s?Box|Flat\s)", re.I)
+_TO_POSTAL = re.compile(r"[A-Za-z]{2},?\s+\d{5}(?:-\d{4})?(?!\w)")
 
 
 def _address(text: str, end: re.Match) -> tuple[int, int] | None:
@@ -127,13 +188,29 @@ def _address(text: str, end: re.Match) -> tuple[int, int] | None:
     if not text[end.start() - 1 : end.start()].isspace():
         return None
     m = _POSTAL.search(text, max(0, end.start() - 8), end.end())
-    if m is None:
-        return None
-    low = max(0, m.start() - 110)
-    before = text[low : m.start()]
+    return None if m is None else _address_before(text, m.start(), m.end())
+
+
+def _address_before(text: str, code: int, end: int) -> tuple[int, int] | None:
+    low = max(0, code - 110)
+    before = text[low:code]
     for h in reversed(list(_HOUSE.finditer(before))):
-        if _ADDRESS.match(before, h.start()):
-            return low + h.start(), m.end()
+        if _ADDRESS.match(before, h.start()) or _PLAIN_ADDRESS.match(before, h.start()) and text[code : code + 2].isupper():
+            return low + h.start(), end
+    return None
+
+
+def _address_by_state(text: str, at: int) -> tuple[int, int] | None:
+    m = _TO_POSTAL.match(text, at)
+    return None if m is None else _address_before(text, at, m.end())
+
+
+def _address_by_street(text: str, end: int) -> tuple[int, int] | None:
+    """From a street word on to the first postal code that closes an address."""
+    for m in _POSTAL_END.finditer(text, end, min(len(text), end + 110)):
+        found = _address(text, m)
+        if found is not None:
+            return found if found[0] < end else None
     return None
 
 
@@ -166,18 +243,22 @@ _STOP = frozenset(
 )
 _ORG = frozenset("health exchange mutual assist plan clinic hospital center centre partners surgery office pharmacy laboratory department group insurance".split())
 _EPONYM = re.compile(r"[ \t]+(?:disease|lymphoma|palsy|sign|phenomenon|catheter|monitor|syndrome)\b", re.I)
-#: What stands before a person.
+#: Titles, roles, relations and phrases before a person; they vouch for one word.
 PERSON_CUES = (
-    "interview with", "according to", "returned (", "labelled", "patient:", "patient", "films with", "i saw", "spoke with", "spoke w/", "form signed", "patient name", "name:", "us to see", "dictated for",
-    "handed to", "in the name of", "son", "daughter", "husband", "wife", "spouse", "coder", "attending", "accompanied by", "neighbor,", "brother,", "sister,", "mother,", "father,", "guarantor is", "msg from",
-    "told", "discussed with", "referred by", "report to", "pt", "re:", "name on the card:", "/s/", "arranged for", "next of kin -", "next of kin:", "chart reads", "cc:", "seen by", "dr", "mr", "mrs", "ms", "miss",
-    "prof", "nurse", "signed by", "dr.", "mr.", "mrs.", "ms.", "mx", "mx.", "letter to", "call from", "visit by", "witness:", "contact:",
+    "dr", "dr.", "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "mx", "mx.", "miss", "prof", "prof.", "nurse", "patient", "patient:", "patient name", "name:", "pt", "client", "coder", "attending", "provider:", "physician:",
+    "surgeon", "therapist", "guarantor is", "guarantor", "insured:", "witness:", "contact:", "attn:", "dear", "re:", "cc:", "/s/", "signed by", "signed:", "form signed", "seen by", "spoke with", "spoke w/", "spoke to", "interview with",
+    "accompanied by", "referred by", "discussed with", "dictated for", "dictated by", "according to", "in the name of", "labelled", "letter to", "report to", "call from", "msg from", "message from", "handed to", "visit by", "told",
+    "next of kin:", "next of kin -", "next of kin", "chart reads", "name on the card:", "i saw", "returned (", "arranged for", "named", "neighbor,", "brother,", "sister,", "mother,", "father,", "son", "daughter", "husband", "wife", "spouse", "see",
 )
-#: What stands after a person.
+#: Words before many things; a person's name has two words there.
+WEAK_CUES = " by | with | for | to | from | and | saw | met | asked | called | contact | contacted | thanks ".split("|")
+#: What stands after a person and vouches for one word.
 PERSON_TAILS = (
-    "'s results", "’s results", ", your results", " came in on foot", " asked about", " will call", " called, wants", " called and", " was not seen", " reports that", " in clinic.", " declined", " household",
-    " was seen", " rang", " phoned", " says", " states that", " signed the", " md, signed", ", md, signed", " rn, verified", ", rn, verified", ", do, signed",
+    "'s results", "’s results", ", your results", " asked", " will call", " called", " was not seen", " reports", " reported", " in clinic.", " declined", " household", " was seen", " rang", " phoned", " says", " said",
+    " states", " stated", " signed", " md, signed", ", md, signed", " rn, verified", ", rn, verified", ", do, signed", " denies", " complains", " agrees", " came in",
 )
+#: Verbs after many things; a person's name has two words there.
+WEAK_TAILS = (" visited", " was ", " is ", " has ", " had ", " came", " went", " will ", " wants", " needs", " takes", " lives", " arrived", " left", " presented", " underwent", " received", " tolerated", ", md", ", do,", ", rn", ", np", ", pa")
 _TOKEN = re.compile(r"[^\W\d_]+(?:(?:['’](?!s\b)|-)[^\W\d_]+)*", re.I)
 _GAP = re.compile(r"[ \t]{1,3}")
 
@@ -254,14 +335,37 @@ def _parse_name(text: str, at: int, single: bool) -> tuple[int, int] | None:
             break
     if start is None or end is None or not words or (words < 2 and not single and not (style and end - start > 2 and re.match(r"[A-Z]\.\s", text[start : start + 3]))):
         return None
+    if words == 1 and end - start <= 3 and text[start:end].isupper():
+        return None
     after = _TOKEN.match(text, end + 1) if text[end : end + 1] == " " else None
     if after and (after.group().lower() in _ORG and after.group()[0].isupper() and text[after.end() : after.end() + 1] != ":") or _EPONYM.match(text, end):
         return None
-    if any(t.lower() in _ORG for t in _TOKEN.findall(text[start:end])):
+    if any(_plain(t) in _ORG for t in _TOKEN.findall(text[start:end])):
         return None
     return start, end
 
 
+def _plain(word: str) -> str:
+    """A word as it is looked up: in lower case without accents."""
+    return word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
+
+
+_NEXT = re.compile(r" (?=([A-Z][\w'’-]*))")
+
+
+def _alone(text: str, found: tuple[int, int] | None) -> tuple[int, int] | None:
+    """A name found by weak evidence, with a third part; nothing where it is the beginning of a longer proper noun."""
+    if found is None or text[found[0] - 1 : found[0]].isalnum() or _ORG & {_plain(t) for t in _TOKEN.findall(text[max(0, found[0] - 24) : found[0]])[-1:] + _TOKEN.findall(text, *found)}:
+        return None
+    more, at = [], found[1]
+    while (m := _NEXT.match(text, at)) is not None:
+        more.append(m.group(1))
+        at += 1 + len(m.group(1))
+    if len(more) > 1 or any(_plain(w) in _ORG | _STOP or _plain(w) in _STREET for w in more):
+        return None
+    return found[0], at
+
+
 def _name_before(text: str, at: int) -> tuple[int, int] | None:
     """The longest name that ends exactly at ``at``."""
     low = max(0, at - 70)
@@ -280,11 +384,28 @@ def _automaton():
 
     a = ahocorasick.Automaton()
     entries: dict[str, set[str]] = {}
-    for kind, words in (("email", ("@", "[at]", "(at)", " at ")), ("person", PERSON_CUES), ("tail", PERSON_TAILS), ("given", GIVEN)):
+    joints = [f"{x}{m}{y}" for x in "0123456789" for m in ("-", ".", " ", ") ", "/", " / ", ")") for y in "0123456789"]
+    for kind, words in (
+        ("email", ("@", "[at]", "(at)", "{at}", "<at>", " at ")),
+        ("scheme", ("tel:", "callto:", "sms:")),
+        ("id", ID_CUES),
+        ("phone", PHONE_CUES),
+        ("phone tail", PHONE_TAILS),
+        ("joint", joints),
+        ("abroad", [f"+{d}" for d in "123456789"]),
+        ("spoken", _DIGIT.split("|")),
+        ("state", [f"{c}{s}{e}" for s in _STATES.split("|") for c in " \n" for e in (" ", ", ")]),
+        ("street", (*_STREET, "box")),
+        ("person", PERSON_CUES),
+        ("weak", WEAK_CUES),
+        ("tail", PERSON_TAILS),
+        ("weak tail", WEAK_TAILS),
+        ("given", GIVEN),
+    ):
         for w in words:
             entries.setdefault(w, set()).add(kind)
     for w, kinds in entries.items():
-        a.add_word(w, (w, tuple(kinds)))
+        a.add_word(w, (len(w), w, tuple(sorted(kinds))))
     a.make_automaton()
     return a
 
@@ -298,27 +419,101 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _capital_before(text: str, at: int) -> bool:
+    """Whether the word that ends at ``at`` begins with a capital, and so does the one before it."""
+    i = at
+    for _ in range(2):
+        j = i
+        while j > 0 and at - j < 80 and (text[j - 1].isalpha() or text[j - 1] in "'’.-"):
+            j -= 1
+        if j == i or not text[j : j + 1].isupper():
+            return False
+        i = j
+        while i > 0 and text[i - 1] in " ,\t":
+            i -= 1
+    return True
+
+
+def _without_overlaps(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """By kind, then the longer one; a span stays if none before it overlaps. Kept spans lie sorted beside each other."""
+    spans = sorted(set(spans), key=lambda s: (KINDS.index(s[0]), s[1] - s[2], s[1]))
+    starts: list[int] = []
+    kept: dict[int, tuple[str, int, int]] = {}
+    for kind, a, b in spans:
+        k = bisect.bisect_left(starts, a)
+        if (k == len(starts) or starts[k] >= b) and (k == 0 or kept[starts[k - 1]][2] <= a):
+            starts.insert(k, a)
+            kept[a] = (kind, a, b)
+    return [kept[a] for a in starts]
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all personal data, in order, without overlaps."""
     spans: list[tuple[str, int, int]] = []
     if not text.isascii():
         text = text.translate(_PLAIN)
     low = _lower(text)
-    names: list[tuple[int, int]] = []
-    emails_at = -1
-    for last, (word, kinds) in _automaton().iter(low):
-        first, end = last - len(word) + 1, last + 1
+    until = {"EMAIL": -1, "PHONE": -1, "ID": -1, "ADDRESS": -1}
+
+    def add(kind: str, found: tuple[int, int] | None) -> None:
+        if found is not None:
+            spans.append((kind, *found))
+            if kind in until:
+                until[kind] = found[1]
+
+    for last, (size, word, kinds) in _automaton().iter(low):
+        first, end = last - size + 1, last + 1
         before, after = low[first - 1 : first], low[end : end + 1]
+        inside = before.isalnum() and word[0].isalnum() or after.isalnum() and word[-1].isalnum()
         for kind in kinds:
-            if kind == "email":
-                if first >= emails_at and (word != " at " or " dot " in low[end : end + 60]):
-                    found = _email(text, first)
-                    if found:
-                        spans.append(("EMAIL", *found))
-                        emails_at = found[1]
+            if kind == "joint":
+                at = end - 1
+                if at >= until["PHONE"]:
+                    add("PHONE", _telephone_around(text, at))
+                if at >= until["ID"] and word[1] in "- ":
+                    add("ID", _identifier_by_form(text, at))
+            elif kind == "email":
+                if first >= until["EMAIL"] and (word != " at " or " dot " in low[end : end + 60]):
+                    add("EMAIL", _email(text, first))
+            elif kind == "weak":
+                if text[end : end + 1].isupper():
+                    add("NAME", _alone(text, _parse_name(text, end, False)))
+            elif kind == "weak tail":
+                if (before.isalpha() or before == ".") and _capital_before(text, first):
+                    found = _name_before(text, first)
+                    if found and len(_TOKEN.findall(text, *found)) > 1:
+                        add("NAME", _alone(text, found))
+            elif kind == "tail":
+                if not (after.isalnum() and word[-1].isalnum()):
+                    found = _name_before(text, first)
+                    if found and not (text[found[0]].islower() and low[found[0] : found[1]] in _WEAK_GIVEN):
+                        add("NAME", found)
+            elif kind == "phone tail":
+                if before.isdigit() and first > until["PHONE"]:
+                    add("PHONE", _telephone_before(text, first))
+            elif kind == "state":
+                if after.isdigit() and first >= until["ADDRESS"]:
+                    add("ADDRESS", _address_by_state(text, first + 1))
+            elif inside:
+                continue
+            elif kind == "street":
+                if first >= until["ADDRESS"]:
+                    add("ADDRESS", _address_by_street(text, end))
+            elif kind == "id":
+                if end >= until["ID"]:
+                    add("ID", _identifier_by_cue(text, end, word))
+            elif kind in ("phone", "scheme"):
+                m = _RUN.match(low, end)
+                if m.end() >= until["PHONE"] and (text[m.end() : m.end() + 1].isdigit() or text[m.end() : m.end() + 1] in ("+", "(")):
+                    add("PHONE", _telephone(text, m.end()))
+            elif kind == "abroad":
+                if first >= until["PHONE"]:
+                    add("PHONE", _telephone(text, first))
+            elif kind == "spoken":
+                if first >= until["PHONE"]:
+                    m = _SPOKEN.match(text, first)
+                    add("PHONE", m and m.span())
             elif kind == "person":
-                if before.isalnum() or (after.isalnum() and word[-1].isalnum()):
-                    continue
                 i = end
                 while i < len(text) and text[i] in " \t:." and i - end < 3:
                     i += 1
@@ -327,13 +522,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                     # in lower case only a given name begins a name
                     if found and text[found[0]].islower() and text[found[0] : found[1]].split()[0].lower() not in GIVEN | _PARTICLES:
                         found = None
-                    if found:
-                        names.append(found)
-            elif kind == "tail":
-                found = _name_before(text, first)
-                if found:
-                    names.append(found)
-            elif not before.isalnum() and before not in ("@", "_", "+", ".", "-", "'", "’", "/") and not after.isalnum() and after not in ("@", "_", "+"):
+                    add("NAME", found)
+            elif before not in ("@", "_", "+", ".", "-", "'", "’", "/") and after not in ("@", "_", "+"):
                 if text[first].isupper() or word not in _WEAK_GIVEN and len(word) > 3:
                     inverted = re.search(r"(?<![\w@.'’-])([^\W\d_]+(?:['’-][^\W\d_]+)*), $", text[max(0, first - 40) : first])
                     begin = first
@@ -341,25 +531,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
                         begin = first - len(inverted.group())
                     found = _parse_name(text, begin, begin != first)
                     if found and found[1] > end - 1:
-                        names.append(found)
-    for m in _POSTAL_END.finditer(text):
-        found = _address(text, m)
-        if found:
-            spans.append(("ADDRESS", *found))
-    for m in _SHAPES.finditer(text):
-        if _identifier(text, m):
-            spans.append(("ID", m.start(), m.end()))
-    for m in _PHONE.finditer(text):
-        if _telephone(text, m):
-            spans.append(("PHONE", m.start(), m.end()))
-    spans += [("PHONE", m.start(), m.end()) for m in _SPOKEN.finditer(text)]
-    spans += [("NAME", a, b) for a, b in names]
-    spans.sort(key=lambda s: (KINDS.index(s[0]), s[1] - s[2], s[1]))
-    kept: list[tuple[str, int, int]] = []
-    for kind, a, b in spans:
-        if all(b <= x or a >= y for _, x, y in kept):
-            kept.append((kind, a, b))
-    return sorted(kept, key=lambda s: s[1])
+                        add("NAME", found)
+    return _without_overlaps(spans)
 
 
 _FINDS = "array<struct<kind:string,start:int,end:int,text:string>>"
