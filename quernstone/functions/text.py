@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,3 +83,34 @@ def mapped_substring(col: Column, mapping: list[tuple[str, str]], default: Colum
 
 def view_name(label: Column) -> Column:
     return F.concat(F.lit("v_"), F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def document_id(path: Column) -> Column:
+    return F.md5(path)
+
+
+def part_id(path: Column, kind: str, number: Column) -> Column:
+    """Id of a chunk or row of a document: md5 of path, kind and number."""
+    return F.md5(F.concat_ws("::", path, F.lit(kind), number.cast("string")))
+
+
+def row_text(source: Column, columns: list[str]) -> Column:
+    """``[Source: f] name: value | name: value``; null and blank values are left out."""
+    pairs = [F.when(strip(F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))) != "", F.concat(F.lit(f"{c}: "), F.col(quoted(c)).cast("string"))) for c in columns]
+    return F.concat(F.lit("[Source: "), source, F.lit("] "), F.concat_ws(" | ", *pairs))
+
+
+def quoted(name: str) -> str:
+    """A column or table name that is read as it is, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def label_slug(label: Column) -> Column:
+    """Lower case, trimmed, blanks to underscores."""
+    return F.regexp_replace(strip(F.lower(label)), " ", "_")
+
+
+def safe_name(header: str) -> str | None:
+    """:func:`safe_identifier` of one header on the driver."""
+    slug = re.sub("[^a-z0-9]+", "_", header.strip().lower()).strip("_")
+    return None if not slug else f"c{slug}" if slug[0].isdigit() else slug

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.casts import typed
-from quernstone.functions.text import column_signature, safe_identifier
+from quernstone.functions.text import column_signature, label_slug, quoted, safe_identifier, safe_name
 
 #: A column whose safe name contains one of these is never stored.
 DENYLIST = ("ssn", "social_security", "social_sec", "password", "passwd")
@@ -31,14 +33,14 @@ def stored_columns(columns: Column, extra: tuple[str, ...] = ()) -> Column:
 
 def select_stored(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Raw headers renamed to safe ones (the last of equal names wins), denied columns dropped; none left is an error."""
-    names = {raw: df.sparkSession.range(1).select(safe_identifier(F.lit(raw))).first()[0] for raw in df.columns}
+    names = {raw: safe_name(raw) for raw in df.columns}
     if None in names.values():
         raise ValueError("a header has no letter or digit")
     last = {safe: raw for raw, safe in names.items()}
     kept = {s: r for s, r in last.items() if not any(t in s for t in (*DENYLIST, *extra))}
     if not kept:
         raise ValueError("no column is left after the denylist")
-    return df.select(*[F.col(f"`{raw}`").alias(safe) for safe, raw in kept.items()])
+    return df.select(*[F.col(quoted(raw)).alias(safe) for safe, raw in kept.items()])
 
 
 def drift_candidates(catalog: DataFrame, similarity: float = DRIFT_SIMILARITY) -> DataFrame:
@@ -83,6 +85,99 @@ def overlay(catalog: DataFrame, config: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in shared else F.col(c) for c in catalog.columns])
 
 
+def read_overlay(path: str) -> list[dict]:
+    """Declared streams of a configuration file: JSON, or YAML where a reader for it is installed; a missing file declares none."""
+    try:
+        with open(path, encoding="utf-8") as config:
+            text = config.read()
+    except FileNotFoundError:
+        return []
+    if path.endswith(".json"):
+        found = json.loads(text or "{}")
+    else:
+        import yaml
+
+        found = yaml.safe_load(text) or {}
+    return [s for s in (found.get("sources") or found.get("streams") or []) if isinstance(s, dict)]
+
+
+def overlay_errors(catalog: DataFrame, declared: list[dict]) -> list[str]:
+    """What is wrong with declared streams: a signature must have 32 characters and be in the catalog."""
+    wanted = [str(s.get("column_signature") or "") for s in declared]
+    known = {r[0] for r in catalog.where(F.col("column_signature").isin(wanted)).select("column_signature").collect()} if wanted else set()
+    return [f"{s!r}: {'not 32 characters' if len(s) != 32 else 'not in the catalog'}" for s in wanted if len(s) != 32 or s not in known]
+
+
+def new_columns(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, added: safe columns of a file that its stream's staging table doesn't have yet, denied ones left out."""
+    safe = signatures(files).withColumnRenamed("signature", "column_signature")
+    target = resolve_aliases(catalog).select("column_signature", "target")
+    stored = catalog.select(F.col("column_signature").alias("target"), "stored_columns")
+    joined = safe.join(target, "column_signature").join(stored, "target")
+    return joined.select("file_id", F.array_except(stored_columns(F.col("safe_columns")), F.coalesce("stored_columns", F.array().cast("array<string>"))).alias("added"))
+
+
+def register(catalog: DataFrame, files: DataFrame, declared: DataFrame | None = None, similarity: float = DRIFT_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Streams of arriving files (file_id, headers, delivered_at): the catalog as it is afterwards, and file_id, column_signature,
+    target, staging_table, outcome (``known``, ``aliased``, ``new``).
+
+    A known signature takes over declared values and columns new to its table; an alias leads to its target, whose table
+    gets them; a new one is added with a staging table of its own, beside the stream it may have drifted from.
+    """
+    seen = signatures(files).withColumnRenamed("signature", "column_signature").join(files.select("file_id", "headers", "delivered_at"), "file_id")
+    first = seen.groupBy("column_signature").agg(F.min_by(F.struct("headers", "safe_columns"), F.struct("delivered_at", "file_id")).alias("f"), F.min("delivered_at").alias("first_ingested_at"), F.max("delivered_at").alias("last_ingested_at"))
+    fresh = first.join(catalog.select("column_signature"), "column_signature", "left_anti").select(
+        "column_signature",
+        F.concat(F.lit("stg_"), F.substring("column_signature", 1, 12)).alias("staging_table"),
+        F.col("f.headers").alias("representative_headers"),
+        F.col("f.safe_columns").alias("safe_columns"),
+        stored_columns(F.col("f.safe_columns")).alias("stored_columns"),
+        F.lit("append").alias("load_mode"),
+        F.lit(False).alias("query_exposed"),
+        "first_ingested_at",
+        "last_ingested_at",
+    )
+    both = catalog.unionByName(fresh, allowMissingColumns=True)
+    near = drift_candidates(both, similarity).join(fresh.select("column_signature"), "column_signature", "left_semi").select("column_signature", "candidate")
+    drifted = both.join(near, "column_signature", "left").withColumn("candidate_drift_of", F.coalesce("candidate_drift_of", "candidate")).drop("candidate")
+    latest = first.select("column_signature", F.col("last_ingested_at").alias("_at"))
+    merged = drifted.join(latest, "column_signature", "left").withColumn("last_ingested_at", F.greatest("last_ingested_at", "_at")).drop("_at")
+    added = new_columns(merged, files).where(F.size("added") > 0).join(seen.select("file_id", "column_signature"), "file_id").join(resolve_aliases(merged).select("column_signature", "target"), "column_signature")
+    more = added.select("target", F.explode("added").alias("c")).groupBy("target").agg(F.array_sort(F.collect_set("c")).alias("_more"))
+    synced = merged.join(more, merged["column_signature"] == more["target"], "left").withColumn("stored_columns", F.when(F.col("_more").isNotNull(), F.array_union("stored_columns", "_more")).otherwise(F.col("stored_columns"))).drop("_more", "target")
+    after = overlay(synced, declared) if declared is not None else synced
+    after = after.select(*catalog.columns)
+    known = catalog.select("column_signature", F.when(F.col("aliased_to").isNotNull(), "aliased").otherwise("known").alias("outcome"))
+    placed = seen.select("file_id", "column_signature").join(resolve_aliases(after).drop("chained"), "column_signature").join(known, "column_signature", "left")
+    return after, placed.withColumn("outcome", F.coalesce("outcome", F.lit("new")))
+
+
+def listing(catalog: DataFrame) -> DataFrame:
+    """The streams in the order of their first file, with what an operator asks for."""
+    shown = catalog.select(F.substring("column_signature", 1, 8).alias("signature"), "human_label", "load_mode", "query_exposed", "rows_total", F.substring("aliased_to", 1, 8).alias("aliased_to"), F.size("safe_columns").alias("n_columns"), "first_ingested_at", "column_signature")
+    return shown.orderBy("first_ingested_at", "column_signature").drop("column_signature")
+
+
+def labelled(catalog: DataFrame, prefix: str, label: str) -> DataFrame:
+    """The catalog with a stream's label, as a slug."""
+    hit = F.col("column_signature") == by_prefix(catalog, prefix)
+    return catalog.withColumn("human_label", F.when(hit, label_slug(F.lit(label))).otherwise(F.col("human_label")))
+
+
+def aliased(catalog: DataFrame, prefix: str, target: str) -> DataFrame:
+    """The catalog with one stream led into another's table, whose columns grow by those it lacks.
+
+    A stream can't be an alias of itself, nor of an alias.
+    """
+    own, into = by_prefix(catalog, prefix), by_prefix(catalog, target)
+    rows = {r["column_signature"]: r for r in catalog.where(F.col("column_signature").isin(own, into)).select("column_signature", "aliased_to", "stored_columns").collect()}
+    if own == into or rows[into]["aliased_to"]:
+        raise ValueError("an alias must lead to another stream that is none itself")
+    more = F.array(*[F.lit(c) for c in rows[own]["stored_columns"] or []]).cast("array<string>")
+    column = F.col("column_signature")
+    return catalog.withColumn("aliased_to", F.when(column == own, F.lit(into)).otherwise(F.col("aliased_to"))).withColumn("stored_columns", F.when(column == into, F.array_union("stored_columns", more)).otherwise(F.col("stored_columns")))
+
+
 def by_prefix(catalog: DataFrame, prefix: str) -> str:
     """The one signature that begins with the prefix; none and several are errors."""
     found = [r[0] for r in catalog.where(F.col("column_signature").startswith(prefix)).select("column_signature").limit(2).collect()]
@@ -100,7 +195,7 @@ def typed_view(staged: DataFrame, mapping: dict[str, tuple[str, str, str | None]
         if name not in staged.columns:
             raise ValueError(f"{name} is denied" if any(t in name for t in DENYLIST) else f"{name} not found")
     live = staged.where(F.col(deleted).isNull()) if deleted in staged.columns else staged
-    return live.select(*[typed(F.col(f"`{safe}`"), kind, fmt).alias(canonical) for safe, (canonical, kind, fmt) in mapping.items()])
+    return live.select(*[typed(F.col(quoted(safe)), kind, fmt).alias(canonical) for safe, (canonical, kind, fmt) in mapping.items()])
 
 
 def expose(view: DataFrame, name: str) -> str:
@@ -113,6 +208,20 @@ def unexpose(spark: SparkSession, name: str) -> bool:
     return spark.catalog.dropTempView(name)
 
 
+def visible_columns(spark: SparkSession) -> DataFrame:
+    """view_name, columns of the session's views whose name begins with ``v_``; system columns (a leading ``_``) are hidden."""
+    found = [(t.name, [c.name for c in spark.catalog.listColumns(t.name) if not c.name.startswith("_")]) for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith("v_")]
+    return spark.createDataFrame(found, "view_name string, columns array<string>")
+
+
+def schema_prompt(spark: SparkSession, question_tokens: list[str], top: int = 5, examples: list[tuple[str, str]] = ()) -> str:
+    """The views that fit a question best, a line each with their columns, and worked examples, for a model that writes SQL."""
+    views = visible_columns(spark)
+    best = link_score(views, question_tokens, top).join(views, "view_name").orderBy(F.desc_nulls_last("score"), "view_name").collect()
+    lines = [f"{r['view_name']}({', '.join(r['columns'])})" for r in best]
+    return "\n".join(["Views:", *lines, *(f"Question: {q}\nSQL: {sql}" for q, sql in examples)])
+
+
 def link_score(views: DataFrame, question_tokens: list[str], top: int = 5) -> DataFrame:
     """views: view_name, columns -> the best by shared tokens over vocabulary size; the first ``top`` even at no overlap.
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import name_tokens
+from quernstone.functions.text import canonical_name, name_tokens
+from quernstone.session import checkpointed
 
 SIMILARITY = 0.82
 BLOCK = 5000
@@ -114,7 +115,7 @@ def file_union(rows: DataFrame, key: str, order: str, files: str) -> DataFrame:
     return first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda x: x["f"]), ",").alias(files))
 
 
-def find_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def by_keys(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(incoming with the id of the row that its first known key matches, rows without a match), key by key.
 
     Keys are tried in their order; an empty or null key never matches; of several rows the smallest id counts.
@@ -128,8 +129,44 @@ def find_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], fi
     return matched, left
 
 
-def fill_nulls(existing: DataFrame, matched: DataFrame, fields: list[str]) -> DataFrame:
-    """Existing rows whose null fields take the first value of their matches."""
-    news = matched.groupBy(F.col("match_id").alias("id")).agg(*[F.min(c).alias(f"_{c}") for c in fields])
+def find_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], fields: list[str], order: str = "row_id", name: str | None = "name", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(the table afterwards, order and id of every incoming row): by keys, else by the name that fits best, else inserted.
+
+    ``existing``: id, keys, name, fields. ``incoming``: the same without id, and ``order``, unique. New rows that share
+    a key or, without one, their normalised name are one row, the first of them; ids go on from the largest. Null fields
+    of an existing row take the first value that comes for them; others stay. Rows without key and name get no id.
+    """
+    matched, left = by_keys(existing, incoming, keys)
+    matched = matched.select(order, "match_id") if matched is not None else incoming.limit(0).select(order, F.lit(0).cast("long").alias("match_id"))
+    if name is not None:
+        asked = left.select(F.col(order).alias("id"), F.col(name).alias("name"))
+        close = best_match(fuzzy_matches(asked, existing.select("id", F.col(name).alias("name")), similarity)).select(F.col("query_id").alias(order), F.col("id").alias("match_id"))
+        matched = matched.unionByName(close)
+    filled = fill_nulls(existing, incoming.join(matched, order), fields, order)
+    open_rows = incoming.join(matched.select(order), order, "left_anti")
+    known = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}:"), F.col(c)))
+    person = F.coalesce(*[known(k) for k in keys], *([F.nullif(F.concat(F.lit("name:"), canonical_name(F.col(name))), F.lit("name:"))] if name is not None else [F.lit(None)]))
+    grouped = open_rows.withColumn("_person", person).where("_person is not null")
+    columns = [c for c in existing.columns if c != "id"]
+    first = grouped.groupBy("_person").agg(F.min(order).alias("_first"), F.min_by(F.struct(*columns), order).alias("_row"))
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    # new people in the order in which they came; sorted over all tasks, so numbers may leave gaps; one row of ``top``
+    sorted_ = checkpointed(first.sort("_first").withColumn("nth", F.monotonically_increasing_id() + 1))
+    placed = sorted_.crossJoin(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("nth")).cast("long"))
+    created = placed.select("id", *[F.col(f"_row.{c}").alias(c) for c in columns])
+    ids = matched.select(order, F.col("match_id").alias("id")).unionByName(grouped.join(placed.select("_person", "id"), "_person").select(order, "id"))
+    return filled.select("id", *columns).unionByName(created), ids
+
+
+def fill_nulls(existing: DataFrame, matched: DataFrame, fields: list[str], order: str = "row_id") -> DataFrame:
+    """Existing rows whose null fields take the first value of their matches, by ``order``."""
+    if not fields:
+        return existing
+    news = matched.groupBy(F.col("match_id").alias("id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in fields])
     joined = existing.join(news, "id", "left")
     return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in fields else F.col(c) for c in existing.columns])
+
+
+def without_file(rows: DataFrame, source_file: str, column: str = "source_file") -> DataFrame:
+    """Rows that don't come from a file, so that it can be read again; null stays."""
+    return rows.where(~F.coalesce(F.col(column) == source_file, F.lit(False)))

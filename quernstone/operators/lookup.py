@@ -70,6 +70,7 @@ def record_text() -> Column:
         *kind("prescription", _line("Medication", "medication"), _line("Dosage", "dosage")),
         *kind("lab_result", _line("Test", "test_name"), _line("Result", "test_result"), _line("Reference range", "reference_range")),
         _line("Admission (HADM_ID)", "hadm_id"),
+        F.when(F.coalesce("icd9_code", F.lit("")) != "", F.concat(F.lit("ICD9: "), F.col("icd9_code"), F.coalesce(F.concat(F.lit(" - "), F.nullif("icd9_description", F.lit(""))), F.lit("")))),
         _line("Diagnosis sequence", "seq_num"),
     )
 
@@ -77,3 +78,45 @@ def record_text() -> Column:
 def band(score: Column) -> Column:
     """Relevance of 0 to 1 as high (75 % or more), medium (50 %) or low."""
     return F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low")
+
+
+#: The column that answers a question's field (the names of ``intent.FIELDS``), in the order in which they are looked up.
+FIELD_COLUMNS = {
+    "NPI number": ("provider_npi", "npi"), "date of birth": ("dob",), "total amount": ("total_amount",), "claim number": ("claim_number",), "patient id": ("patient_mrn", "patient_id"), "address": ("address",), "phone": ("phone",),
+    "insurance": ("insurance_id",), "gender": ("gender",), "death time": ("deathtime",), "admission type": ("admission_type",), "discharge time": ("dischtime",), "admit time": ("admittime",),
+}
+#: Fields of a person rather than of a record.
+DEMOGRAPHIC = frozenset(("date of birth", "address", "phone", "insurance", "gender", "patient id"))
+
+
+def specific_field(field: Column, columns: list[str]) -> Column:
+    """The value of the asked field: its own columns first, else the first column whose name holds the field's name."""
+    chain = F.lit(None).cast("string")
+    for name, own in FIELD_COLUMNS.items():
+        some = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in own if c in columns]
+        if some:
+            chain = F.when(field == name, F.coalesce(*some)).otherwise(chain)
+    named = [F.when(F.lit(c.replace("_", " ")).contains(F.lower(field)), F.nullif(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    return F.coalesce(chain, *named)
+
+
+def with_asked(content: Column, field: Column, value: Column) -> Column:
+    """A text with the asked field as its first line, where there is a value."""
+    return F.concat_ws("\n", F.when(value.isNotNull() & field.isNotNull(), F.concat(F.lit("["), F.upper(field), F.lit("]: "), value)), content)
+
+
+def lines(*pairs: tuple[str, str]) -> Column:
+    """``label: value`` lines of the columns that hold something."""
+    return F.concat_ws("\n", *[_line(label, column) for label, column in pairs])
+
+
+def provider_text() -> Column:
+    return lines(("Provider", "name"), ("NPI", "npi"), ("Specialty", "specialty"), ("Date of birth", "dob"), ("Phone", "phone"), ("Address", "address"), ("License", "license_number"))
+
+
+def admission_text() -> Column:
+    return lines(("Admission (HADM_ID)", "hadm_id"), ("Subject", "subject_id"), ("Admitted", "admittime"), ("Discharged", "dischtime"), ("Died", "deathtime"), ("Admission type", "admission_type"), ("Diagnosis", "diagnosis"))
+
+
+def demographics_text() -> Column:
+    return lines(("Patient", "name"), ("Patient ID", "patient_id"), ("Date of birth", "dob"), ("Gender", "gender"), ("Phone", "phone"), ("Address", "address"), ("Insurance", "insurance_id"))

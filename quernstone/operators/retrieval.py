@@ -48,15 +48,20 @@ def bm25(documents: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def term_weights(posted: DataFrame, documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, float]:
-    """(term, idf) of wanted terms by statistics of all documents, and the mean length of a document."""
-    size = documents.agg(F.count("*").alias("n")).first()["n"]
-    terms = posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_weights(documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, float]:
+    """(term, idf) of wanted terms by statistics of all documents, and the mean length of a document.
+
+    A document gives each of its terms once; they are counted per task before the shuffle, so what is shuffled grows with
+    the vocabulary and not with the postings.
+    """
+    tokens = words(F.lower("text"))
+    lengths = documents.agg(F.count("*").alias("n"), F.sum(F.when(F.col("text").isNotNull(), F.size(tokens))).alias("total")).first()
+    size = lengths["n"]
+    terms = documents.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = terms.withColumn("idf", F.log(F.lit(size) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    total = raw.agg(F.avg("idf").alias("mean"), F.sum("cf").alias("total")).first()
-    mean = total["mean"] or 0.0
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
     kept = raw.join(wanted, "term", "left_semi").select("term", F.when(F.col("idf") < 0, mean * EPSILON).otherwise(F.col("idf")).alias("idf"))
-    return kept, (total["total"] or 0) / max(size, 1)
+    return kept, (lengths["total"] or 0) / max(size, 1)
 
 
 def bm25_top(documents: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
@@ -66,7 +71,7 @@ def bm25_top(documents: DataFrame, queries: DataFrame, k: int, block: int = 256)
     tasks (terms x queries), each batch of documents is scored as a product, and only its k best per query are shuffled.
     """
     asked = queries.where("text is not null").select("query_id", F.explode(words(F.lower("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weights, avgdl = term_weights(postings(documents), documents, asked.select("term").distinct())
+    weights, avgdl = term_weights(documents, asked.select("term").distinct())
     rows = [tuple(r) for r in asked.join(weights, "term").select("query_id", "term", F.col("qn") * F.col("idf")).orderBy("query_id", "term").toLocalIterator()]
     ids = sorted({r[0] for r in rows})
     result = None
@@ -209,6 +214,23 @@ def filtered(documents: DataFrame, tree: dict | None, keep_empty: bool = False)
     return found if keep_empty or tree is None or not found.isEmpty() else documents
 
 
+def embedded(texts: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "text") -> DataFrame:
+    """Adds ``embedding``: the model's vectors, Arrow batch by batch; null and blank texts get none."""
+
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series) -> pd.Series:
+        some = [isinstance(t, str) and t.strip() != "" for t in batch]
+        found = iter(model(batch[some]) if any(some) else ())
+        return pd.Series([next(found) if s else None for s in some], dtype=object)
+
+    return texts.withColumn("embedding", run(column))
+
+
+def without_ids(documents: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents whose id isn't among those to delete."""
+    return documents.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def preview(documents: DataFrame, length: int = 300) -> DataFrame:
     """doc_id and the first characters of each text with an ellipsis."""
     return documents.select("doc_id", F.concat(F.substring("text", 1, length), F.lit("…")).alias("preview"))

@@ -163,23 +163,29 @@ def safe_numeric(t):
     return t("records").select("id", casts.safe_numeric(F.col("total_amount")).cast("double").alias("amount"))
 
 
-@query(r"""
-SELECT id, CAST(TRY_STRPTIME(nullif(trim(record_date), ''), '%Y-%m-%d') AS DATE) AS as_date FROM records WHERE regexp_matches(trim(record_date), '^\d{4}-\d{2}-\d{2}$')""")
-def safe_dates(t):
-    return t("records").where(F.trim("record_date").rlike(r"^\d{4}-\d{2}-\d{2}$")).select("id", casts.safe_date(F.col("record_date")).alias("as_date"))
+_SQL_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_SQL_MONTH = "(January|February|March|April|May|June|July|August|September|October|November|December)"
 
 
-@query()
-def safe_dates_all(t):
-    """Every row, whatever its shape; SQL reads other shapes differently."""
+def _sql_parsed(value: str, *forms: tuple[str, str]) -> str:
+    """The first form whose shape fits, strictly; null where none does or the day isn't in the calendar."""
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({value}, '^{shape}$') THEN TRY_STRPTIME({value}, '{form}') END" for shape, form in forms) + ", NULL)"
+
+
+_ISO_DAY = (r"\d{4}-\d{1,2}-\d{1,2}", "%Y-%m-%d")
+
+
+@query(f"SELECT id, CAST({_sql_parsed('v', _ISO_DAY)} AS DATE) AS as_date FROM (SELECT id, {_SQL_STRIP.format('record_date')} AS v FROM records)")
+def safe_dates(t):
     return t("records").select("id", casts.safe_date(F.col("record_date")).alias("as_date"))
 
 
-@query(r"""
-SELECT id, CASE WHEN regexp_matches(trim(admittime), '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$') THEN TRY_STRPTIME(trim(admittime), '%Y-%m-%d %H:%M:%S') END AS admitted_at FROM admissions""")
+_ISO_TIME = (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", "%Y-%m-%d %H:%M:%S")
+
+
+@query(f"SELECT id, {_sql_parsed('v', _ISO_TIME)} AS admitted_at FROM (SELECT id, {_SQL_STRIP.format('admittime')} AS v FROM admissions)")
 def safe_timestamps(t):
-    shaped = F.when(F.trim("admittime").rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.col("admittime"))
-    return t("admissions").select("id", casts.safe_timestamp(shaped).cast("timestamp_ntz").alias("admitted_at"))
+    return t("admissions").select("id", casts.safe_timestamp(F.col("admittime")).cast("timestamp_ntz").alias("admitted_at"))
 
 
 @query("""
@@ -229,20 +235,31 @@ def type_from_name(t):
     return t("records").select("id", text.mapped_substring(F.col("source_file"), list(lookup.NAME_TYPES), F.lit("other")).alias("doc_type"))
 
 
-@query("""
-SELECT id, coalesce(CAST(CAST(coalesce(TRY_STRPTIME(v, '%Y-%m-%d'), TRY_STRPTIME(v, '%m/%d/%Y')) AS DATE) AS VARCHAR), raw) AS as_date
-FROM (SELECT id, dob AS raw, trim(dob) AS v FROM patients WHERE regexp_matches(trim(dob), '^(\\d{4}-\\d{2}-\\d{2}|\\d{2}/\\d{2}/\\d{4})$'))""".replace("\\\\", "\\"))
-def any_dates(t):
-    shaped = t("patients").where(F.trim("dob").rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"))
-    return shaped.select("id", casts.any_date(F.col("dob")).alias("as_date"))
+_ANY_DAY = (_ISO_DAY, (r"\d{1,2}/\d{1,2}/\d{4}", "%m/%d/%Y"), (r"\d{1,2}-\d{1,2}-\d{4}", "%m-%d-%Y"), (rf"\d{{1,2}} {_SQL_MONTH} \d{{4}}", "%d %B %Y"), (rf"{_SQL_MONTH} \d{{1,2}}, \d{{4}}", "%B %d, %Y"))
 
 
-@query()
-def any_dates_all(t):
-    """Every row, whatever its shape; SQL reads other shapes differently."""
+@query(f"SELECT id, coalesce(CAST(CAST({_sql_parsed('v', *_ANY_DAY)} AS DATE) AS VARCHAR), dob) AS as_date FROM (SELECT id, dob, {_SQL_STRIP.format('dob')} AS v FROM patients)")
+def any_dates(t):
     return t("patients").select("id", casts.any_date(F.col("dob")).alias("as_date"))
 
 
+@query("SELECT doc_id, md5(coalesce(source_file, '')) AS document_key, md5(coalesce(source_file, '') || '::chunk::' || (doc_id % 7)) AS chunk_key FROM documents")
+def document_keys(t):
+    path = F.coalesce("source_file", F.lit(""))
+    return t("documents").select("doc_id", text.document_id(path).alias("document_key"), text.part_id(path, "chunk", F.col("doc_id") % 7).alias("chunk_key"))
+
+
+@query(f"""
+SELECT id, '[Source: ' || source_file || '] ' || concat_ws(' | ', {", ".join(f"CASE WHEN {_SQL_STRIP.format(f'coalesce({c}, {chr(39) * 2})')} <> '' THEN '{c}: ' || {c} END" for c in ("record_type", "record_date", "diagnosis", "total_amount"))}) AS line FROM records""")
+def row_texts(t):
+    return t("records").select("id", text.row_text(F.col("source_file"), ["record_type", "record_date", "diagnosis", "total_amount"]).alias("line"))
+
+
+@query("SELECT doc_id, replace(trim(lower(title)), ' ', '_') AS slug FROM documents WHERE title IS NOT NULL")
+def label_slugs(t):
+    return t("documents").where("title is not null").select("doc_id", text.label_slug(F.col("title")).alias("slug"))
+
+
 # --- catalog -----------------------------------------------------------------------------------------------------------
 @query("""
 SELECT column_signature, list_filter(safe_columns, lambda c: NOT (contains(c, 'ssn') OR contains(c, 'social_security') OR contains(c, 'social_sec') OR contains(c, 'password') OR contains(c, 'passwd'))) AS stored
@@ -286,17 +303,43 @@ def schema_links(t):
     return catalog.link_score(views, ["total", "amount", "billed", "service", "date", "payer"])
 
 
+_SQL_DENIED = "(contains(c, 'ssn') OR contains(c, 'social_security') OR contains(c, 'social_sec') OR contains(c, 'password') OR contains(c, 'passwd'))"
+
+
+@query(f"""
+WITH f AS (SELECT file_id, list_distinct(list_filter(list_transform(headers, lambda h: {_SQL_SAFE}), lambda c: c <> '' AND NOT {_SQL_DENIED})) AS cols, column_signature FROM stream_files),
+c AS (SELECT s.column_signature, coalesce(b.stored_columns, s.stored_columns) AS stored FROM source_catalog s LEFT JOIN source_catalog b ON s.aliased_to = b.column_signature)
+SELECT file_id, list_sort(list_filter(cols, lambda x: NOT list_contains(stored, x))) AS added FROM f JOIN c USING (column_signature)""")
+def columns_to_add(t):
+    return catalog.new_columns(t("source_catalog"), t("stream_files"))
+
+
+@query("""
+SELECT substr(column_signature, 1, 8) AS signature, human_label, load_mode, query_exposed, rows_total, substr(aliased_to, 1, 8) AS aliased_to, len(safe_columns)::INTEGER AS n_columns, first_ingested_at FROM source_catalog""")
+def catalog_listing(t):
+    return catalog.listing(t("source_catalog"))
+
+
+@query("""
+WITH f AS (SELECT column_signature, max(delivered_at) AS at FROM stream_files GROUP BY 1)
+SELECT file_id, s.column_signature, coalesce(c.aliased_to, c.column_signature) AS target, coalesce(b.staging_table, c.staging_table) AS staging_table, CASE WHEN c.aliased_to IS NULL THEN 'known' ELSE 'aliased' END AS outcome
+FROM stream_files s JOIN source_catalog c USING (column_signature) LEFT JOIN source_catalog b ON c.aliased_to = b.column_signature""")
+def stream_registration(t):
+    return catalog.register(t("source_catalog"), t("stream_files"))[1]
+
+
 # --- staging -----------------------------------------------------------------------------------------------------------
 def _loads(t) -> tuple[DataFrame, DataFrame]:
-    """Staged and incoming rows: events dealt into 40 files; an even event is staged, two in three are incoming."""
-    row = t("events").select(F.concat(F.lit("f"), F.pmod("user_id", F.lit(40)).cast("string")).alias("_source_file"), F.md5(F.concat_ws("|", "event_type", F.pmod("event_id", F.lit(997)).cast("string"))).alias("_row_hash"), F.col("event_id").alias("row_idx"))
-    deleted = F.when(F.pmod("row_idx", F.lit(10)) == 0, F.lit("2024-01-01").cast("timestamp"))
-    return row.where("row_idx % 2 = 0").withColumn("_deleted_at", deleted), row.where("row_idx % 3 > 0")
+    """Staged rows as they are, by feed, and as incoming each feed's latest file; every staged row is on one side or the other."""
+    files = t("stream_files").select("file_id", "feed_code", F.row_number().over(W.partitionBy("feed_code").orderBy(F.desc("delivered_at"), F.desc("file_id"))).alias("age"))
+    rows = t("stg_rows").join(files, "file_id").select(F.col("feed_code").alias("_source_file"), "_row_hash", F.col("_id").alias("row_idx"), "_deleted_at", "age")
+    return rows.where("age > 1").drop("age"), rows.where("age = 1").drop("age", "_deleted_at")
 
 
 _SQL_LOADS = """
-WITH e AS (SELECT 'f' || (user_id % 40) AS _source_file, md5(event_type || '|' || (event_id % 997)) AS _row_hash, event_id AS row_idx FROM events),
-staged AS (SELECT *, row_idx % 10 = 0 AS deleted FROM e WHERE row_idx % 2 = 0), incoming AS (SELECT * FROM e WHERE row_idx % 3 > 0),
+WITH f AS (SELECT file_id, feed_code, row_number() OVER (PARTITION BY feed_code ORDER BY delivered_at DESC, file_id DESC) AS age FROM stream_files),
+e AS (SELECT feed_code AS _source_file, _row_hash, _id AS row_idx, _deleted_at IS NOT NULL AS deleted, age FROM stg_rows JOIN f USING (file_id)),
+staged AS (SELECT * FROM e WHERE age > 1), incoming AS (SELECT * FROM e WHERE age = 1),
 firsts AS (SELECT * FROM incoming QUALIFY row_number() OVER (PARTITION BY _source_file, _row_hash ORDER BY row_idx) = 1)"""
 
 
@@ -313,9 +356,23 @@ def snapshot_load(t):
 @query(_SQL_LOADS + """, inc AS (SELECT DISTINCT _source_file, _row_hash FROM incoming), live AS (SELECT DISTINCT _source_file, _row_hash FROM staged WHERE NOT deleted),
 n AS (SELECT _source_file, count(*) AS n_new FROM inc GROUP BY 1), m AS (SELECT _source_file, count(*) AS n_live FROM (SELECT * FROM live UNION SELECT * FROM inc) GROUP BY 1)
 SELECT l._source_file, l._row_hash FROM live l JOIN n USING (_source_file) JOIN m USING (_source_file)
-WHERE n_new >= 10 AND n_new >= n_live * 0.7 AND NOT EXISTS (SELECT 1 FROM inc i WHERE i._source_file = l._source_file AND i._row_hash = l._row_hash)""")
+WHERE n_new >= 10 AND n_new >= n_live * 0.1 AND NOT EXISTS (SELECT 1 FROM inc i WHERE i._source_file = l._source_file AND i._row_hash = l._row_hash)""")
 def snapshot_reconcile(t):
-    return staging.reconcile(*_loads(t), min_fraction=0.7)
+    return staging.reconcile(*_loads(t), min_fraction=0.1)
+
+
+_SQL_RECONCILE = _SQL_LOADS + """, inc AS (SELECT DISTINCT _source_file, _row_hash FROM incoming), live AS (SELECT DISTINCT _source_file, _row_hash FROM staged WHERE NOT deleted),
+n AS (SELECT _source_file, count(*) AS n_new FROM inc GROUP BY 1), m AS (SELECT _source_file, count(*) AS n_live FROM live GROUP BY 1)
+SELECT l._source_file, l._row_hash FROM live l JOIN n USING (_source_file) JOIN m USING (_source_file)
+WHERE n_new >= 10 AND n_new >= n_live * 0.90 AND NOT EXISTS (SELECT 1 FROM inc i WHERE i._source_file = l._source_file AND i._row_hash = l._row_hash)"""
+
+
+@query(_SQL_RECONCILE.replace("FROM e WHERE age > 1", "FROM e WHERE age = 2"))
+def snapshot_reconcile_default(t):
+    """At the default fraction, counted before the load: each feed's latest file against the one before it alone."""
+    files = t("stream_files").select("file_id", "feed_code", F.row_number().over(W.partitionBy("feed_code").orderBy(F.desc("delivered_at"), F.desc("file_id"))).alias("age"))
+    rows = t("stg_rows").join(files, "file_id").select(F.col("feed_code").alias("_source_file"), "_row_hash", "_deleted_at", "age")
+    return staging.reconcile(rows.where("age = 2"), rows.where("age = 1"), guard="pre_insert")
 
 
 @query(_SQL_LOADS + " SELECT _source_file, count(*) AS rows_total, count(*) FILTER (NOT deleted) AS rows_live FROM staged GROUP BY 1")
@@ -330,9 +387,21 @@ def latest_wins_upsert(t):
     return staging.upsert(ordered.where("event_id % 2 = 0"), ordered.where("event_id % 2 = 1"), "user_id", "seq").select("user_id", "event_id", "event_type", "value")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def migrate_new_rows(t):
-    return staging.insert_new(t("orders").select(F.col("o_custkey").alias("c_custkey")), t("customer").select("c_custkey", "c_name"), "c_custkey")
+    there = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return staging.insert_new(there, t("customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("SELECT id, source_file FROM records WHERE source_file IS NULL OR source_file <> (SELECT min(source_file) FROM records)")
+def file_deleted(t):
+    first = t("records").agg(F.min("source_file")).first()[0]
+    return entities.without_file(t("records").select("id", "source_file"), first)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT item_id FROM eval_items)")
+def documents_deleted(t):
+    return retrieval.without_ids(t("documents").select("doc_id"), t("eval_items").select(F.col("item_id").alias("doc_id")))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IS NULL OR source NOT IN ('intake-share.harbor.example', 'ward-scans.quarry.example')")
@@ -385,10 +454,25 @@ SELECT a.id, k.match_id FROM admissions a JOIN known k USING (subject_id)""")
 def find_or_create(t):
     existing = t("patients").select("id", "subject_id")
     incoming = t("admissions").select("id", "subject_id")
-    matched, _ = entities.find_or_create(existing, incoming, ["subject_id"], [])
+    matched, _ = entities.by_keys(existing, incoming, ["subject_id"])
     return matched.select("id", "match_id")
 
 
+@query("""
+WITH known AS (SELECT subject_id, min(id) AS k FROM patients WHERE coalesce(subject_id, '') <> '' GROUP BY 1),
+ordered AS (SELECT a.id AS row_id, a.subject_id, k FROM admissions a LEFT JOIN known USING (subject_id) WHERE coalesce(a.subject_id, '') <> ''),
+fresh AS (SELECT subject_id, min(row_id) AS first FROM ordered WHERE k IS NULL GROUP BY 1)
+SELECT row_id, k AS known_id, CASE WHEN k IS NULL THEN first END AS first_row FROM ordered LEFT JOIN fresh USING (subject_id)""")
+def subjects_found_or_created(t):
+    """Every admission's patient: the known one, else a new one, named by the first admission that brought it."""
+    existing = t("patients").select("id", "subject_id")
+    incoming = t("admissions").select(F.col("id").alias("row_id"), "subject_id")
+    _, ids = entities.find_or_create(existing, incoming, ["subject_id"], [], name=None)
+    found = ids.join(existing.select("id", F.lit(True).alias("old")), "id", "left")
+    first = found.where("old is null").groupBy("id").agg(F.min("row_id").alias("first_row"))
+    return found.join(first, "id", "left").select("row_id", F.when(F.col("old"), F.col("id")).alias("known_id"), "first_row")
+
+
 # --- documents ---------------------------------------------------------------------------------------------------------
 @query(r"""
 WITH RECURSIVE w AS (
@@ -489,6 +573,20 @@ def rrf_fusion(t):
     return retrieval.fuse(first, second, 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_SQL_BM25.replace("WITH tok", f"WITH {_SQL_NEAREST}, tok", 1) + """, l AS (SELECT query_id, doc_id, score, rank FROM b WHERE rank < 30 AND query_id % 100 = 0),
+x AS (SELECT query_id, vec_id AS doc_id, similarity AS score, rank FROM d WHERE rank < 30),
+both_ AS (SELECT DISTINCT query_id FROM l INTERSECT SELECT DISTINCT query_id FROM x),
+f AS (SELECT query_id, doc_id, coalesce(1.0 / (60 + x.rank + 1), 0)::DOUBLE + coalesce(1.0 / (60 + l.rank + 1), 0)::DOUBLE AS score, x.rank AS r1, l.rank AS r2
+FROM (SELECT * FROM x WHERE query_id IN (FROM both_)) x FULL JOIN (SELECT * FROM l WHERE query_id IN (FROM both_)) l USING (query_id, doc_id)),
+g AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, r1 NULLS LAST, r2 NULLS LAST, doc_id) - 1 AS rank FROM f QUALIFY rank < 10)
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT * FROM g UNION ALL SELECT * FROM l WHERE rank < 10 AND query_id NOT IN (FROM both_) UNION ALL SELECT * FROM x WHERE rank < 10 AND query_id NOT IN (FROM both_))""")
+def hybrid_search(t):
+    """Lexical search for items, semantic search for vectors with the same numbers, fused; the queries are those divisible by 100."""
+    lexical = retrieval.bm25_top(t("documents").select("doc_id", "text"), _asked(t).where("query_id % 100 = 0"), 30).select("query_id", "doc_id", "score", "rank")
+    semantic = _semantic(t, 30).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"), "rank")
+    return retrieval.hybrid(lexical, semantic, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(_SQL_BM25 + """, s2 AS (SELECT query_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE round(score, 4) END AS score FROM b WHERE rank < 10),
 k AS (SELECT *, score IS NULL OR score >= 150 AS kept, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) AS best FROM s2)
 SELECT query_id, doc_id, score FROM k QUALIFY kept OR (NOT max(kept) OVER (PARTITION BY query_id) AND best = 1)""")

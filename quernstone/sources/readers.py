@@ -117,7 +117,28 @@ def lookup_table(spark: SparkSession, path: str, code: str = "icd9_code") -> Dat
     read = csv(spark, path)
     named = read.toDF(*[c.lower() for c in read.columns])
     title = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("short_title", "long_title") if c in named.columns])
-    return named.select(F.trim(code).alias("code"), title.alias("title")).where("code != '' and title is not null").dropDuplicates(["code"])
+    placed = named.select(F.trim(code).alias("code"), title.alias("title"), F.monotonically_increasing_id().alias("at"))
+    return placed.where("code != '' and title is not null").groupBy("code").agg(F.min_by("title", "at").alias("title"))
+
+
+def read(spark: SparkSession, path: str, extract: Callable[[str, bytes], str] | None = None) -> dict[str, DataFrame]:
+    """Everything below a path by its kind: tables as one DataFrame per file, texts, JSON documents and extracted ones together.
+
+    A missing path is an error; unsupported files are passed over; documents need ``extract``.
+    """
+    found = files(spark, path).select("path", "kind").orderBy("path").collect()
+    by_kind: dict[str, list[str]] = {}
+    for r in found:
+        by_kind.setdefault(r["kind"], []).append(r["path"])
+    out = {p: (csv if p.lower().endswith(".csv") else excel)(spark, p) for p in by_kind.pop("table", [])}
+    texts = by_kind.get("text", []) + by_kind.get("html", [])
+    if texts:
+        out["text"] = text_documents(spark, texts)
+    if "json" in by_kind:
+        out["json"] = json_documents(spark, by_kind["json"])
+    if "document" in by_kind and extract is not None:
+        out["document"] = binary_documents(spark, by_kind["document"], extract)
+    return out
 
 
 def jdbc(spark: SparkSession, url: str, table: str, fetch: int = 500, **options: str) -> DataFrame:

@@ -6,12 +6,16 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class VersionedTable:
-    """``root/v-<id>`` folders and a ``current.txt``; a version being read is never overwritten."""
+    """``root/v-<id>`` folders and numbered pointers ``current-<n>``: the highest one that exists tells the version.
+
+    A pointer is written beside and renamed to a number that isn't taken, so there is no moment without a table; of two
+    writers one fails. Versions and pointers that others may read are never overwritten.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,37 +25,55 @@ class VersionedTable:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _pointer(self) -> str | None:
-        if not self.fs.exists(self._path("current.txt")):
-            return None
-        return self.spark.read.option("wholetext", True).text(f"{self.root}/current.txt").first()[0].strip()
+    def _latest(self) -> tuple[int, str | None]:
+        if not self.fs.exists(self._path("")):
+            return 0, None
+        found = [f.getPath().getName() for f in self.fs.listStatus(self._path(""))]
+        numbers = [int(n.removeprefix("current-")) for n in found if n.startswith("current-")]
+        if not numbers:
+            return 0, None
+        stream = self.fs.open(self._path(f"current-{max(numbers):012d}"))
+        try:
+            return max(numbers), bytes(stream.readAllBytes()).decode().strip()
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame | None:
-        current = self._pointer()
+        _, current = self._latest()
         return None if current is None else self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{current}")
 
     def replace(self, df: DataFrame, partition_by: list[str] | None = None) -> str:
+        before, _ = self._latest()
         version = f"v-{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{version}")
-        self._point(version)
+        self._point(version, before + 1)
         return version
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
         """Rows added to the current version (columns may be new)."""
-        current = self._pointer()
+        _, current = self._latest()
         if current is None:
-            self.replace(df)
+            self.replace(df, partition_by)
         else:
-            df.write.mode("append").parquet(f"{self.root}/{current}")
+            writer = df.write.mode("append")
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{current}")
+
+    def delete(self, where: Column) -> None:
+        """A version without the rows for which the condition holds; where it is null they stay."""
+        current = self.read()
+        if current is not None:
+            self.replace(current.where(~F.coalesce(where, F.lit(False))))
 
-    def _point(self, version: str) -> None:
+    def _point(self, version: str, number: int) -> None:
         fresh = self._path(f"next-{uuid.uuid4().hex}")
         out = self.fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
-        self.fs.delete(self._path("current.txt"), False)
-        self.fs.rename(fresh, self._path("current.txt"))
+        target = self._path(f"current-{number:012d}")
+        if self.fs.exists(target) or not self.fs.rename(fresh, target):
+            self.fs.delete(fresh, False)
+            raise RuntimeError(f"another writer has replaced {self.root}")
 
 
 AUDIT_SCHEMA = "timestamp string, query string, route string, sql string, source_ids array<string>, latency_ms double, error string"

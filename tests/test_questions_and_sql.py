@@ -1,11 +1,13 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quernstone.functions import casts
+from quernstone.functions.text import normalise_name
 from quernstone.operators import answer, entities, intent, lookup, sqlguard
 from quernstone.sources import readers, tables
 
@@ -113,6 +115,29 @@ def test_names(spark):
     assert sorted(r.id for r in entities.subset_matches(df.where("id = 1"), df).collect()) == [1, 2]
 
 
+def test_asked_names(spark):
+    cases = {
+        "show bills for Mary-Jane O'Neill, please": "Mary-Jane O'Neill Please", "labs for the patient": None, "doctor Chen's NPI": "Chen", "what is Ana Maria de Souza Lima's phone?": "Maria De Souza Lima",
+        "Who is dr. Strange": "Strange", "is there anything": None, "": None, "find me Zoë's records": "Zoë", "for Q B C D E F": "Q B C D", "42's answer": None,
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "question string")
+    got = {r[0]: r[1] for r in df.select("question", normalise_name(intent.name_in_question(F.col("question")))).collect()}
+    assert got == cases
+
+
+def test_find_or_create(spark):
+    existing = spark.createDataFrame([(1, "S1", None, "Alice Johnson", None, "f"), (2, None, "P2", "Bob Stone", "555", None)], "id long, subject_id string, patient_id string, name string, phone string, gender string")
+    incoming = spark.createDataFrame(
+        [(1, "S1", None, "A. J.", "111", "m"), (2, None, None, "Johnson, Alice", "222", None), (3, None, "P2", "Robert", "999", "m"), (4, "S9", None, "New Person", None, None), (5, "S9", None, "Other Spelling", None, None), (6, None, None, "Carla Quux", "3", None), (7, None, None, "quux carla", None, None), (8, None, "", None, "1", None)],
+        "row_id long, subject_id string, patient_id string, name string, phone string, gender string",
+    )
+    table, ids = entities.find_or_create(existing, incoming, ["subject_id", "patient_id"], ["phone", "gender"])
+    got, rows = {r.row_id: r.id for r in ids.collect()}, {r.id: r for r in table.collect()}
+    assert got[1] == got[2] == 1 and got[3] == 2 and 2 < got[4] == got[5] and got[6] == got[7] > 2 and got[4] != got[6] and 8 not in got
+    assert (rows[1].phone, rows[1].gender) == ("111", "f") and (rows[2].phone, rows[2].gender) == ("555", "m") and rows[got[4]].name == "New Person" and len(rows) == 4
+    assert entities.without_file(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, source_file string"), "a").count() == 2
+
+
 def test_merging(spark):
     df = spark.createDataFrame([("g", 1, "Unknown", None, "a.csv, b.csv"), ("g", 2, "555", "", "b.csv"), ("g", 3, "666", "here", None)], "g string, id long, phone string, address string, files string")
     assert tuple(entities.merge_fields(df, "g", "id", ["phone", "address"]).first()) == ("g", "Unknown", "here")
@@ -145,8 +170,13 @@ def test_versioned_table_and_audit(spark, tmp_path):
     t.append(spark.range(3))
     t.append(spark.range(3, 5).selectExpr("id", "'x' AS extra"))
     assert t.read().count() == 5 and "extra" in t.read().columns
-    t.replace(t.read().where("id = 1").select("id"))
+    held = t.read()
+    t.replace(t.read().where("id < 3").select("id"))
+    assert sorted(r.id for r in t.read().collect()) == [0, 1, 2] and held.count() == 5
+    t.delete(F.col("id") != 1)
     assert [r.id for r in t.read().collect()] == [1]
+    with pytest.raises(RuntimeError):
+        t._point("v-x", 3)
     log = str(tmp_path / "audit.jsonl")
     tables.audit(log, "q", "sql", None, ["1"], 0.0)
     tables.audit(str(tmp_path / "no" / "audit.jsonl"), "q", "sql", None, [], 0.0)
@@ -160,3 +190,24 @@ def test_answers(spark, tmp_path):
     assert a.answer("how many records in total")["documents"] == [("analytical:0", "n: 3")]
     assert a.answer("troponin reference")["query_path"] == "rag" and a.answer("")["query_path"] in ("rag", "error")
     assert len((tmp_path / "a.jsonl").read_text().splitlines()) == 3
+
+
+def test_exact_and_hybrid_answers(spark):
+    patients = spark.createDataFrame([(1, "Alice Johnson", "P001", "S1", "1990-01-01", "F", "555", None, None), (2, "Bob Stone", "P002", None, None, None, None, None, None)], "id long, name string, patient_id string, subject_id string, dob string, gender string, phone string, address string, insurance_id string")
+    providers = spark.createDataFrame([(1, "Wei Chen", "1234567890", "Cardiology", None, None, None, None), (2, "Chen, Wei M.", None, None, None, None, None, None)], "id long, name string, npi string, specialty string, dob string, phone string, address string, license_number string")
+    columns = "id long, patient_id long, provider_id long, record_type string, record_date string, diagnosis string, treatment string, total_amount string, claim_number string, medication string, dosage string, test_name string, test_result string, reference_range string, hadm_id string, seq_num string, icd9_code string, icd9_description string"
+    records = spark.createDataFrame([(7, 1, 1, "bill", "2024-01-05", None, None, "12.50", "C1", None, None, None, None, None, "777", "1", "401", "hypertension")], columns)
+    admissions = spark.createDataFrame([(3, "777", "S1", "2024-01-01", None, None, "URGENT", "pain")], "id long, hadm_id string, subject_id string, admittime string, dischtime string, deathtime string, admission_type string, diagnosis string")
+    documents = spark.createDataFrame([(1, "warfarin dose table", {"doc_type": "record"}, [1.0, 0.0]), (2, "visiting hours", {"doc_type": "other"}, [0.0, 1.0]), (3, "parking", {"doc_type": "other"}, [0.1, 1.0])], "doc_id long, text string, metadata map<string,string>, embedding array<float>")
+    tables_ = {"patients": patients, "providers": providers, "records": records, "admissions": admissions}
+    hooks = answer.Hooks(generate=lambda p: "said", grounded=lambda said, context: "warfarin" not in context, embed=lambda texts: pd.Series([[0.0, 1.0]] * len(texts)), rerank=lambda q, c: c.str.startswith("visiting").astype(float))
+    a = answer.Answerer(spark, tables_, documents, hooks=hooks)
+    got = a.answer("total amount for patient Johnson, Alice M.")
+    exact = a.exact(intent.route(intent.parse(spark.createDataFrame([("bill for Johnson, Alice M. total amount due",)], "question string"))).first().asDict())
+    assert exact[0][0] == "sql:7" and exact[0][1].startswith("[TOTAL AMOUNT]: 12.50\nPatient: Alice Johnson") and "ICD9: 401 - hypertension" in exact[0][1] and got["query_path"] == "analytical"
+    assert [i for i, _ in a.exact(intent.parse(spark.createDataFrame([("NPI of doctor Wei Chen",)], "question string")).first().asDict())] == ["sql:provider:1", "sql:provider:2"]
+    assert a.answer("phone of patient Alice Johnson")["documents"][0] == ("sql:patient:1", "[PHONE]: 555\nPatient: Alice Johnson\nPatient ID: P001\nDate of birth: 1990-01-01\nGender: F\nPhone: 555")
+    assert a.answer("admission type for hadm id 777")["documents"][0][1].startswith("[ADMISSION TYPE]: URGENT")
+    assert a.answer("warfarin")["answer"] == answer.REFUSAL
+    assert a.search("visiting hours", 2)[0][0] == "2" and len(a.search("visiting hours", 2)) == 2
+    assert a.search("visiting hours", 2, {"doc_type": "bill"}) and not a.search("visiting hours", 2, {"doc_type": "bill"}, confirmed=True)

@@ -1,8 +1,10 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import text
 from quernstone.operators import catalog, staging
 
 
@@ -84,3 +86,42 @@ def test_typed_view(spark):
         catalog.typed_view(df, {"ssn": ("s", "text", None)})
     with pytest.raises(ValueError, match="not found"):
         catalog.typed_view(df, {"nope": ("s", "text", None)})
+
+
+def test_registration(spark, tmp_path):
+    columns = "column_signature string, staging_table string, aliased_to string, candidate_drift_of string, representative_headers array<string>, safe_columns array<string>, stored_columns array<string>, load_mode string, human_label string, query_exposed boolean, rows_total long, first_ingested_at timestamp, last_ingested_at timestamp"
+    at = lambda n: dt.datetime(2024, 1, n)
+    sign = lambda *headers: spark.range(1).select(text.column_signature(F.array(*[F.lit(h) for h in headers]))).first()[0]
+    a, b = sign("id", "name", "dob", "city"), sign("x", "y")
+    rows = [(a, "stg_a", None, None, ["id"], ["city", "dob", "id", "name"], ["city", "dob", "id"], "append", None, False, 5, at(1), at(1)), (b, "stg_b", a, None, ["x"], ["x", "y"], ["x"], "append", None, False, 0, at(2), at(2))]
+    known = spark.createDataFrame(rows, columns)
+    files = spark.createDataFrame([(1, ["ID", "Name", "DOB", "City"], at(3)), (2, ["X", "Y"], at(4)), (3, ["id", "name", "dob", "city", "ssn"], at(5)), (4, ["SSN", "id", "Name", "DOB", "city"], at(6))], "file_id long, headers array<string>, delivered_at timestamp")
+    declared = spark.createDataFrame([(a, "people", None)], "column_signature string, human_label string, load_mode string")
+    after, placed = catalog.register(known, files, declared)
+    got = {r.file_id: (r.outcome, r.staging_table) for r in placed.collect()}
+    fresh = sign("id", "name", "dob", "city", "ssn")
+    assert got == {1: ("known", "stg_a"), 2: ("aliased", "stg_a"), 3: ("new", f"stg_{fresh[:12]}"), 4: ("new", f"stg_{fresh[:12]}")}
+    table = {r.column_signature: r for r in after.collect()}
+    assert len(table) == 3 and table[fresh].candidate_drift_of == a and table[fresh].stored_columns == ["city", "dob", "id", "name"]
+    assert (table[a].human_label, table[a].load_mode) == ("people", "append") and table[a].stored_columns == ["city", "dob", "id", "name", "x", "y"] and table[a].last_ingested_at == at(3)
+    assert [r.signature for r in catalog.listing(after).collect()] == [a[:8], b[:8], fresh[:8]]
+    assert catalog.labelled(after, fresh[:8], " New People ").where(F.col("column_signature") == fresh).first().human_label == "new_people"
+    led = {r.column_signature: r for r in catalog.aliased(after, fresh[:8], a[:8]).collect()}
+    assert led[fresh].aliased_to == a and set(led[a].stored_columns) == {"city", "dob", "id", "name", "x", "y"}
+    with pytest.raises(ValueError):
+        catalog.aliased(after, fresh[:8], b[:8])
+    (tmp_path / "o.json").write_text(json.dumps({"sources": [{"column_signature": a}, {"column_signature": "short"}, {"column_signature": "f" * 32}]}))
+    assert len(catalog.overlay_errors(after, catalog.read_overlay(str(tmp_path / "o.json")))) == 2 and catalog.read_overlay(str(tmp_path / "none.yaml")) == []
+
+
+def test_headers_are_read_as_they_are(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`a``b` int, `A.B` int, `c d` int")
+    assert catalog.select_stored(df).columns == ["a_b", "c_d"] and catalog.select_stored(df).first()[0] == 2
+    assert text.safe_name("  2nd Höhe ") == "c2nd_h_he" and text.safe_name("--") is None
+
+
+def test_prompt_of_views(spark):
+    spark.createDataFrame([(1, "x", None)], "total_amount int, payer string, _deleted_at timestamp").createOrReplaceTempView("v_bills")
+    said = catalog.schema_prompt(spark, ["total", "payer"], examples=[("how many", "SELECT count(*) FROM v_bills")])
+    assert "v_bills(total_amount, payer)" in said and said.endswith("SELECT count(*) FROM v_bills") and "_deleted_at" not in said
+    spark.catalog.dropTempView("v_bills")
