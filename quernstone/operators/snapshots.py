@@ -7,8 +7,10 @@ peeled cell by cell; a bucket that does not peel to nothing is built again with
 ``MAX_ROUNDS`` it is compared row by row instead. Recovered hashes are verified by joining them to the rows they
 came from, key hash and digest, and classified by sign.
 
-Shuffled are cells, not rows: a cell is three hashes and a count, and Spark combines them before the shuffle. Buckets
-hold about ``ROWS_PER_BUCKET`` rows, so a feed with a third of all rows is spread over many tasks.
+Shuffled are hashes, not rows: a row is its file, key hash, digest and place, once to find the row that counts for its
+key and once to bring the buckets of a feed's files together. There cells are filled, subtracted and peeled without
+another shuffle. Only for the few recovered hashes the keys themselves are read. Buckets hold about
+``ROWS_PER_BUCKET`` rows, so a feed with a third of all rows is spread over many tasks.
 
 Odd input: null cells count as empty, header texts that sanitise alike are one column (the last cell counts), rows
 staged twice count once, of several rows with one key the one with the highest row_no counts, a file without rows or
@@ -32,6 +34,8 @@ from quernstone.session import checkpointed
 ROWS_PER_BUCKET = 1024
 CELLS = 384
 MAX_ROUNDS = 4
+#: Recovered rows up to which their places are broadcast (five numbers each).
+MOST_BROADCAST = 500_000
 _SEED = 42
 _BLANKS = " \t\r\n\f\u000b "
 _SALT_CHECK, _SALT_CELL = 97, (11, 23, 37)
@@ -59,50 +63,53 @@ def layouts(files: DataFrame) -> DataFrame:
     return keyed.select("file_id", "columns", at.alias("key_at")).select("file_id", rest.alias("columns"), "key_at")
 
 
-def keyed_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """file_id, row_key, key_hash, digest: one row per file and natural key. ``files`` has headers and natural_key.
+def _cell(at: Column) -> Column:
+    return F.when(at > 0, _trim(F.try_element_at(F.col("cells"), F.greatest(at, F.lit(1)))))
+
+
+def _row_key() -> Column:
+    return F.array_join(F.transform("key_at", lambda at: F.upper(F.coalesce(_cell(at), F.lit("")))), "|")
+
+
+def keyed_rows(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """file_id, key_hash, digest, row_no, _id: one row per file and natural key. ``places``: ``layouts`` of the files.
 
     Names and positions are worked out once per file. Key columns are no part of the digest: a key in other case is the
     same key. Empty values are left out, as null equals empty.
     """
-    joined = rows.select("file_id", "row_no", "_id", "cells").join(layouts(files), "file_id")
-    cell = lambda at: F.when(at > 0, _trim(F.try_element_at(F.col("cells"), F.greatest(at, F.lit(1)))))
-    named = F.transform(F.coalesce("columns", F.array().cast("array<struct<name:string,at:int>>")), lambda c: F.concat(c["name"], F.lit("="), F.nullif(cell(c["at"]), F.lit(""))))
-    keyed = joined.select(
-        "file_id",
-        "row_no",
-        "_id",
-        F.array_join(F.transform("key_at", lambda at: F.upper(F.coalesce(cell(at), F.lit("")))), "|").alias("row_key"),
-        F.xxhash64(F.array_join(named, "\u0001")).alias("digest"),
-    )
-    one = keyed.groupBy("file_id", "row_key").agg(F.max(F.struct("row_no", "_id", "digest")).alias("top"))
-    return one.select("file_id", "row_key", F.xxhash64("row_key").alias("key_hash"), F.col("top.digest").alias("digest"))
+    joined = rows.select("file_id", "row_no", "_id", "cells").join(places, "file_id")
+    named = F.transform(F.coalesce("columns", F.array().cast("array<struct<name:string,at:int>>")), lambda c: F.concat(c["name"], F.lit("="), F.nullif(_cell(c["at"]), F.lit(""))))
+    keyed = joined.select("file_id", "row_no", "_id", F.xxhash64(_row_key()).alias("key_hash"), F.xxhash64(F.array_join(named, "\u0001")).alias("digest"))
+    one = keyed.groupBy("file_id", "key_hash").agg(F.max(F.struct("row_no", "_id", "digest")).alias("top"))
+    return one.select("file_id", "key_hash", "top.digest", "top.row_no", "top._id")
 
 
 def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
-def cell_table(rows: DataFrame, cells: int) -> DataFrame:
-    """rows: file_id, bucket, key_hash, digest -> one row per file, bucket and non-empty cell."""
+def subtracted(rows: DataFrame, pairs: DataFrame, cells: int) -> DataFrame:
+    """Cells of each later file minus those of its predecessor, where anything is left; laid out by feed and bucket.
+
+    rows: feed_code, file_id, bucket, key_hash, digest. pairs: file_id, prev_id and, where only some are wanted, bucket. A
+    row counts for the pair in which its file is the later one, and against the one in which it is the earlier.
+    """
     third = cells // 3
+    some = ["bucket"] if "bucket" in pairs.columns else []
+    later = pairs.select("file_id", F.col("file_id").alias("pair"), F.lit(1).alias("sign"), *some)
+    earlier = pairs.select(F.col("prev_id").alias("file_id"), F.col("file_id").alias("pair"), F.lit(-1).alias("sign"), *some)
+    # a given number of tasks: peeling costs CPU, not bytes, and would else be merged into few
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = rows.repartition(tasks, "feed_code", "bucket").join(later.unionByName(earlier), ["file_id", *some])
     places = F.array(*[(F.pmod(F.xxhash64("key_hash", "digest", _long(s)), _long(third)) + i * third).cast("int") for i, s in enumerate(_SALT_CELL)])
     return (
-        rows.select("file_id", "bucket", "key_hash", "digest", F.xxhash64("key_hash", "digest", _long(_SALT_CHECK)).alias("check"), F.explode(places).alias("cell"))
-        .groupBy("file_id", "bucket", "cell")
-        .agg(F.count("*").alias("n"), F.bit_xor("key_hash").alias("key_hash"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
+        signed.select("feed_code", "bucket", "pair", "sign", "key_hash", "digest", F.xxhash64("key_hash", "digest", _long(_SALT_CHECK)).alias("check"), F.explode(places).alias("cell"))
+        .groupBy("feed_code", "bucket", "pair", "cell")
+        .agg(F.sum("sign").alias("n"), F.bit_xor("key_hash").alias("key_hash"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check"))
+        .where("n != 0 or key_hash != 0 or digest != 0 or check != 0")
     )
 
 
-def subtract(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Cells of each later file minus those of its predecessor; pairs: file_id, prev_id and, where only some are wanted, bucket."""
-    some = ["bucket"] if "bucket" in pairs.columns else []
-    plus = table.join(pairs.select("file_id", *some), ["file_id", *some]).withColumnRenamed("file_id", "pair")
-    minus = table.join(pairs.select(F.col("file_id").alias("pair"), F.col("prev_id").alias("file_id"), *some), ["file_id", *some]).drop("file_id").withColumn("n", -F.col("n"))
-    both = plus.unionByName(minus).groupBy("pair", "bucket", "cell").agg(F.sum("n").alias("n"), *[F.bit_xor(c).alias(c) for c in ("key_hash", "digest", "check")])
-    return both.where("n != 0 or key_hash != 0 or digest != 0 or check != 0")
-
-
 def _chain(*values: int) -> int:
     """Spark's xxhash64 over longs: each value is hashed with the last hash as the seed."""
     seed = _SEED
@@ -147,7 +154,7 @@ def peel_buckets(cells_left: DataFrame, cells: int) -> DataFrame:
         keys, digests, signs = zip(*found) if found else ((), (), ())
         return pd.DataFrame({"pair": pair, "bucket": bucket, "key_hash": np.array(keys, "int64"), "digest": np.array(digests, "int64"), "sign": np.array(signs, "int32"), "failed": False})
 
-    return cells_left.groupBy("pair", "bucket").applyInPandas(run, _PEELED)
+    return cells_left.groupBy("feed_code", "bucket", "pair").applyInPandas(run, _PEELED)
 
 
 def consecutive(files: DataFrame) -> DataFrame:
@@ -161,17 +168,18 @@ def snapshot_changes(files: DataFrame, rows: DataFrame, catalog: DataFrame, cell
     streams = catalog.where(F.col("load_mode") == "snapshot").select("column_signature", "natural_key").dropDuplicates(["column_signature"])
     snapshots = files.select("file_id", "feed_code", "column_signature", "headers", "row_count", "delivered_at").join(streams, "column_signature")
     staged = rows.join(snapshots.select("file_id"), "file_id", "left_semi")
-    complete = complete_files(snapshots, staged)
+    complete = checkpointed(complete_files(snapshots, staged))
     pairs = checkpointed(consecutive(complete))
-    largest = W.partitionBy("feed_code")
-    buckets = complete.select("file_id", F.greatest(F.ceil(F.max("n_rows").over(largest) / rows_per_bucket), F.lit(1)).cast("long").alias("n_buckets"))
+    n_rows = F.greatest(F.ceil(F.max("n_rows") / rows_per_bucket), F.lit(1)).cast("long").alias("n_buckets")
+    buckets = complete.select("file_id", "feed_code").join(complete.groupBy("feed_code").agg(n_rows), "feed_code")
+    places = layouts(complete)
     keyed = checkpointed(
-        keyed_rows(complete, staged).join(buckets, "file_id").withColumn("bucket", F.pmod(F.xxhash64("key_hash", _long(_SEED)), F.col("n_buckets"))).drop("n_buckets")
+        keyed_rows(places, staged).join(buckets, "file_id").withColumn("bucket", F.pmod(F.xxhash64("key_hash", _long(_SEED)), F.col("n_buckets"))).drop("n_buckets")
     )
     wanted = pairs.where("prev_id is not null").select("file_id", "prev_id")
     peeled, todo, size = None, keyed, cells
     for _ in range(MAX_ROUNDS):
-        got = checkpointed(peel_buckets(subtract(cell_table(todo, size), wanted), size))
+        got = checkpointed(peel_buckets(subtracted(todo, wanted, size), size))
         done = got.where(~F.col("failed"))
         peeled = done if peeled is None else peeled.unionByName(done)
         failed = got.where("failed").select(F.col("pair").alias("file_id"), "bucket")
@@ -184,9 +192,15 @@ def snapshot_changes(files: DataFrame, rows: DataFrame, catalog: DataFrame, cell
         peeled = peeled.unionByName(_row_by_row(todo, wanted))
     sides = peeled.where("sign != 0").select("pair", "key_hash", "digest", "sign")
     owner = sides.join(pairs.select(F.col("file_id").alias("pair"), "prev_id"), "pair").withColumn("file_id", F.when(F.col("sign") > 0, F.col("pair")).otherwise(F.col("prev_id")))
-    verified = owner.join(keyed.select("file_id", "key_hash", "digest", "row_key"), ["file_id", "key_hash", "digest"])
+    # verified by the row they came from, key hash and digest; its key is read at its place
+    verified = checkpointed(owner.join(keyed.select("file_id", "key_hash", "digest", "row_no", "_id"), ["file_id", "key_hash", "digest"]).select("pair", "sign", "file_id", "row_no", "_id"))
+    spots = verified.withColumnsRenamed({"file_id": "f", "row_no": "r", "_id": "i"})
+    at = (F.col("file_id") == F.col("f")) & F.col("row_no").eqNullSafe(F.col("r")) & F.col("_id").eqNullSafe(F.col("i"))
+    # known to be small only by its count: broadcast up to a bound, else joined
+    few = F.broadcast(spots) if verified.count() <= MOST_BROADCAST else spots
+    found = staged.select("file_id", "row_no", "_id", "cells").join(few, at).join(places, "file_id").select("pair", "sign", _row_key().alias("row_key"))
     kind = F.when(F.min("sign") > 0, "added").when(F.max("sign") < 0, "removed").otherwise("changed")
-    return verified.groupBy(F.col("pair").alias("file_id"), "row_key").agg(kind.alias("change_kind"))
+    return found.groupBy(F.col("pair").alias("file_id"), "row_key").agg(kind.alias("change_kind"))
 
 
 def _row_by_row(rows: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -64,10 +64,10 @@ def test_failed_buckets_are_enlarged(spark, monkeypatch):
 def test_changed_rows_peel(spark):
     """The tables alone must do it: no bucket may be left to the row-by-row comparison at the size they are made for."""
     a, b = random_snapshots(300, 2)
-    rows = [(f, hash(k) % 4, hash(("k", k)), hash(v)) for f, d in ((1, a), (2, b)) for k, v in d.items()]
-    df = spark.createDataFrame(rows, "file_id long, bucket long, key_hash long, digest long")
+    rows = [("A", f, hash(k) % 4, hash(("k", k)), hash(v)) for f, d in ((1, a), (2, b)) for k, v in d.items()]
+    df = spark.createDataFrame(rows, "feed_code string, file_id long, bucket long, key_hash long, digest long")
     pairs = spark.createDataFrame([(2, 1)], "file_id long, prev_id long")
-    got = s.peel_buckets(s.subtract(s.cell_table(df, s.CELLS), pairs), s.CELLS).toPandas()
+    got = s.peel_buckets(s.subtracted(df, pairs, s.CELLS), s.CELLS).toPandas()
     assert not got.failed.any()
     want = sum((k in b and 2 or 1) if k in a and a[k] != b.get(k) else (k not in a) for k in a.keys() | b.keys())
     assert len(got) == want
