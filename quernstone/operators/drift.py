@@ -4,7 +4,8 @@ Rows are read as path-value pairs with raw types; types are counted per file and
 and a file's schema is compared with that of the file before it in its feed. Columns that left and columns that came
 are matched as renames by, in this order: the same core name (without ``fld_``, ``_v2`` and underscores), the same canonical
 column in the catalog's mappings, the same consonants, and - for text columns only - overlapping values, estimated
-from theta sketches of the cells. Only schemas, one short row per file and column, meet in a window or group.
+from theta sketches of the cells of columns that are then still alone. Only schemas, one short row per file and column,
+meet in a window or group; of rows staged twice, which are few, the one with the highest ``_id`` counts.
 
 Odd input: blank cells and null words are empty; a column without any non-empty value has no type and is never
 ``retyped``; headers without letters or digits are ignored; headers that sanitise alike are one column; rows staged
@@ -28,6 +29,8 @@ from quernstone.session import checkpointed
 
 #: Least overlap (Jaccard) of the cells of two text columns that makes one a rename of the other.
 VALUE_OVERLAP = 0.25
+#: Log of a sketch's size: estimates are exact up to some thousand distinct values, within a few per cent beyond.
+SKETCH = 12
 
 _MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
 _DATE = rf"(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}([-/.])\d{{1,2}}\1(?:\d{{4}}|\d{{2}})|\d{{1,2}}[- ]?{_MONTH}[- ,]*\d{{2,4}}|{_MONTH}\.? \d{{1,2}},? \d{{4}})"
@@ -59,33 +62,36 @@ def skeleton(name: Column) -> Column:
 
 
 def staged_once(rows: DataFrame) -> DataFrame:
-    return rows.select("file_id", "row_no", "_id", "cells").dropDuplicates(["file_id", "row_no"])
+    """Rows without those staged twice (same file and row_no): the highest _id counts. Cells aren't shuffled for it."""
+    plain = rows.select("file_id", "row_no", "_id", "cells")
+    key = ["file_id", "row_no"]
+    # few as a rule; read back with statistics, so that they are broadcast only if they are
+    twice = checkpointed(plain.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1 and file_id is not null and row_no is not null").select(*key))
+    order = W.partitionBy(*key).orderBy(F.desc_nulls_last("_id"), F.xxhash64("cells"))
+    picked = plain.join(twice, key, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    return plain.join(twice, key, "left_anti").unionByName(picked)
 
 
 def path_values(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """file_id, row_no, column_name, value (as staged), raw_type: one row per cell."""
+    """file_id, row_no, column_name, value (as staged), raw_type: one row per cell. ``rows``: ``staged_once``."""
     headers = files.select("file_id", F.transform("headers", safe_identifier).alias("names"))
-    cells = staged_once(rows).join(headers, "file_id").select("file_id", "row_no", F.explode(F.arrays_zip("names", "cells")).alias("cell"))
+    cells = rows.join(headers, "file_id").select("file_id", "row_no", F.explode(F.arrays_zip("names", "cells")).alias("cell"))
     named = cells.select("file_id", "row_no", F.col("cell.names").alias("column_name"), F.col("cell.cells").alias("value")).where("column_name is not null")
     return named.withColumn("raw_type", raw_type(F.lower(F.trim("value"))))
 
 
 def file_schemas(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """file_id, column_name, n_values, n_typed, column_type (most frequent; ties to the first in alphabet), sketch."""
+    """file_id, column_name, n_values, n_typed, column_type (most frequent; ties to the first in alphabet)."""
     stats = (
         path_values(files, rows)
         .where("raw_type is not null")
         .groupBy("file_id", "column_name")
-        .agg(
-            F.count("*").alias("n_values"),
-            *[F.count_if(F.col("raw_type") == t).alias(t) for t in TYPES],
-            F.theta_sketch_agg(F.lower(F.trim("value")), 8).alias("sketch"),
-        )
+        .agg(F.count("*").alias("n_values"), *[F.count_if(F.col("raw_type") == t).alias(t) for t in TYPES])
     )
     most = F.greatest(*TYPES)
     kind = F.coalesce(*[F.when(F.col(t) == most, t) for t in TYPES])
     columns = files.select("file_id", F.explode(F.array_distinct(F.transform("headers", safe_identifier))).alias("column_name")).where("column_name is not null")
-    return columns.join(stats.select("file_id", "column_name", "n_values", most.alias("n_typed"), kind.alias("column_type"), "sketch"), ["file_id", "column_name"], "left")
+    return columns.join(stats.select("file_id", "column_name", "n_values", most.alias("n_typed"), kind.alias("column_type")), ["file_id", "column_name"], "left")
 
 
 def _squashed(name: Column) -> Column:
@@ -148,7 +154,7 @@ def compare_files(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> Data
         return pd.Series([[{"old": get(a, "column_name"), "new": get(b, "column_name"), "old_type": get(a, "column_type"), "new_type": get(b, "column_type")} for a, b in ps] for ps in both])
 
     compared = checkpointed(beside.select("file_id", "feed_code", "prev_id", F.inline(match("before", "columns"))))
-    by_value = checkpointed(_value_matches(compared, schemas))
+    by_value = checkpointed(_value_matches(compared, files, rows))
     matched = by_value.select("file_id", "old", "new").withColumn("sides", F.array(F.struct(F.lit("old").alias("side"), F.col("old").alias("name")), F.struct(F.lit("new").alias("side"), F.col("new").alias("name"))))
     taken = matched.select("file_id", F.inline("sides"))
     named = compared.withColumn("side", F.when(F.col("new").isNull(), "old").when(F.col("old").isNull(), "new")).withColumn("name", F.coalesce("new", "old"))
@@ -156,11 +162,16 @@ def compare_files(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> Data
     return rest.unionByName(by_value.select(*compared.columns))
 
 
-def _value_matches(compared: DataFrame, schemas: DataFrame) -> DataFrame:
+def _value_matches(compared: DataFrame, files: DataFrame, rows: DataFrame) -> DataFrame:
     """Lone text columns of one file pair whose cells overlap; each takes the partner with the largest overlap."""
-    sketches = schemas.select("file_id", "column_name", "sketch")
-    gone = compared.where("new is null and old_type = 'text'").select("file_id", "feed_code", "prev_id", "old", "old_type")
-    came = compared.where("old is null and new_type = 'text'").select("file_id", "new", "new_type")
+    lone_old = compared.where("new is null and old_type = 'text'").select("file_id", "feed_code", "prev_id", "old", "old_type")
+    lone_new = compared.where("old is null and new_type = 'text'").select("file_id", "new", "new_type")
+    # only where both kinds stand alone is there anything to compare
+    gone, came = lone_old.join(lone_new.select("file_id"), "file_id", "left_semi"), lone_new.join(lone_old.select("file_id"), "file_id", "left_semi")
+    lone = checkpointed(gone.select(F.col("prev_id").alias("file_id"), F.col("old").alias("column_name")).unionByName(came.select("file_id", F.col("new").alias("column_name"))).distinct())
+    own = rows.join(lone.select("file_id").distinct(), "file_id", "left_semi")
+    cells = path_values(files, own).where("raw_type is not null").join(lone, ["file_id", "column_name"], "left_semi")
+    sketches = cells.groupBy("file_id", "column_name").agg(F.theta_sketch_agg(F.lower(F.trim("value")), SKETCH).alias("sketch"))
     pairs = gone.join(came, "file_id").join(sketches.select(F.col("file_id").alias("prev_id"), F.col("column_name").alias("old"), F.col("sketch").alias("a")), ["prev_id", "old"])
     both = pairs.join(sketches.select("file_id", F.col("column_name").alias("new"), F.col("sketch").alias("b")), ["file_id", "new"])
     overlap = F.theta_sketch_estimate(F.theta_intersection("a", "b")) / F.theta_sketch_estimate(F.theta_union("a", "b"))
@@ -171,7 +182,7 @@ def _value_matches(compared: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def schema_changes(files: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """file_id, change_kind (added, removed, renamed, retyped), column_name (of the later file; for removed of the earlier)."""
-    compared = compare_files(files, rows, catalog)
+    compared = compare_files(files, staged_once(rows), catalog)
     kinds = F.array_compact(
         F.array(
             F.when(F.col("old").isNull(), F.lit("added")),
@@ -261,8 +272,9 @@ def consistent_rows(files: DataFrame, rows: DataFrame, catalog: DataFrame, facil
     Dates and instants are read as by ``timestamps``, in the date order and zone of the facility that the feed's code names
     (where it names none in UTC, and in the order that all dates of the feed with a part above 12 share); a date in a column of instants is its midnight there. Each distinct text of a feed is converted once.
     """
-    named = checkpointed(feed_columns(files, rows, catalog))
-    values = path_values(files, rows).join(named, ["file_id", "column_name"]).join(files.select("file_id", "feed_code"), "file_id").withColumn("column_name", F.col("name"))
+    once = staged_once(rows)
+    named = checkpointed(feed_columns(files, once, catalog))
+    values = path_values(files, once).join(named, ["file_id", "column_name"]).join(files.select("file_id", "feed_code"), "file_id").withColumn("column_name", F.col("name"))
     counted = values.where("raw_type is not null").groupBy("feed_code", "column_name").agg(*[F.count_if(F.col("raw_type") == t).alias(t) for t in TYPES])
     most = F.greatest(*TYPES)
     kinds = counted.select("feed_code", "column_name", F.coalesce(*[F.when(F.col(t) == most, t) for t in TYPES]).alias("column_type"))

@@ -23,6 +23,11 @@ def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_rows(*_feeds(spark, sf_dir), table(spark, sf_dir, "facilities"))
 
 
+def p1_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that its column's type couldn't take, with the place it came from."""
+    return p1_rows(spark, sf_dir).where("cast_failed").select("feed_code", "file_id", "row_no", "column_name", "column_type", "value")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.snapshot_changes(*_feeds(spark, sf_dir))
 
@@ -51,4 +56,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.not_yet_normal(reduce(DataFrame.unionByName, parts), table(spark, sf_dir, "facilities"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p3_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p1_failed_casts, p3_found, p5_found)}

@@ -72,3 +72,10 @@ def test_columns_of_one_file_stay_apart(spark):
     mapping = {"dose": ("strength", "text", None), "strength": ("strength", "text", None)}
     got = cells(spark, [(1, ["Dose"]), (2, ["Dose", "Strength"])], [(1, 1, ["a"]), (2, 1, ["b", "c"])], mapping)
     assert sorted((r.column_name, r.value) for r in got.collect()) == [("strength", "a"), ("strength", "b"), ("strength_2", "c")]
+
+
+def test_rows_staged_twice(spark):
+    rows = spark.createDataFrame([(1, 1, 5, ["a"]), (1, 1, 9, ["b"]), (1, 1, 9, ["b"]), (1, 2, 3, ["c"]), (1, None, 4, ["d"]), (None, 1, 6, None), (2, 1, None, ["e"]), (2, 1, 1, ["f"])], "file_id long, row_no int, _id long, cells array<string>")
+    got = sorted((tuple(r) for r in drift.staged_once(rows).collect()), key=str)
+    assert got == sorted([(1, 1, 9, ["b"]), (1, 2, 3, ["c"]), (1, None, 4, ["d"]), (None, 1, 6, None), (2, 1, 1, ["f"])], key=str)
+    assert drift.staged_once(rows.limit(0)).collect() == []
