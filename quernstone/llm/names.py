@@ -240,7 +240,7 @@ _CELLS = "cell long, form string, homes int, full int"
 
 def neighbours(found: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVOT, most: int = CELL) -> DataFrame:
     """found: form (distinct), n (rows), part (forms of different parts are never near) -> a, b: all pairs of forms within the
-    radius, a < b."""
+    radius, a <= b: a form is as near to itself as any other can be."""
     spark = found.sparkSession
     # a given number of tasks: the distances cost CPU, not bytes, and would else be merged into one task
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -265,7 +265,9 @@ def neighbours(found: DataFrame, radius: int = RADIUS, per_pivot: int = PER_PIVO
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("form")
-        return pd.DataFrame(list(pairs_in_cell(pdf["form"].tolist(), pdf["homes"].to_numpy(), int(pdf["full"].iloc[0]), radius)), columns=["a", "b"])
+        texts, homes, full = pdf["form"].tolist(), pdf["homes"].to_numpy(), int(pdf["full"].iloc[0])
+        own = [(t, t) for t, h in zip(texts, homes) if h == full]
+        return pd.DataFrame(own + list(pairs_in_cell(texts, homes, full, radius)), columns=["a", "b"])
 
     return whole.select("cell", "form", "homes", "full").groupBy("cell").applyInPandas(join, "a string, b string").distinct()
 
@@ -375,7 +377,7 @@ def link(rows: DataFrame, strong: list[str], weak: list[str]) -> DataFrame:
     sized = near.join(counts.select(F.col("form").alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col("form").alias("b"), F.col("n").alias("nb")), "b")
     upward = F.col("na") <= F.col("nb")
     leads = sized.select(F.when(upward, F.col("a")).otherwise(F.col("b")).alias("form"), F.when(upward, F.col("b")).otherwise(F.col("a")).alias("under"))
-    under = spellings.select("name", F.col("form").alias("under")).unionByName(spellings.join(leads, "form").select("name", "under")).distinct()
+    under = spellings.join(leads, "form").select("name", "under").distinct()
     # contacts only count where one side has no birth date: two rows with one needn't meet under a contact
     dated = F.col("dob").isNotNull() if "dob" in weak else F.lit(False)
     contact = F.exists(F.array(*[F.lit(f"{c}:") for c in weak if c != "dob"]).cast("array<string>"), lambda c: F.startswith(F.col("e"), c))

@@ -43,7 +43,7 @@ def test_neighbours_against_all_pairs(spark):
     """Whatever the pivots and however often cells are divided: exactly the pairs within the radius."""
     forms = spoilt(random.Random(8))
     df = spark.createDataFrame([(t, 1 + (i % 5), "p") for i, t in enumerate(forms)], "form string, n long, part string")
-    want = {(a, b) for a, b in itertools.combinations(forms, 2) if names.distance(a, b) <= 1}
+    want = {(a, b) for a, b in itertools.combinations(forms, 2) if names.distance(a, b) <= 1} | {(t, t) for t in forms}
     for per_pivot, most in ((10_000, 10_000), (20, 10_000), (10, 40)):
         got = [(r.a, r.b) for r in names.neighbours(df, per_pivot=per_pivot, most=most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
