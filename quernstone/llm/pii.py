@@ -56,6 +56,7 @@ _SHAPES = re.compile(
 )
 #: What a cue may vouch for: up to three letters and five digits or more, hyphens between.
 _CUED = re.compile(r"(?:[A-Z]{3}-?\d{4}-?\d{4}-?\d{2}|\d{3}\s\d{2}\s\d{4}|[A-Z]{0,3}-?\d(?:-?\d){4,11}[A-Z]?)(?![\w-]*\w)")
+_LIKE_A_PHONE = re.compile(r"(?:1-)?\d{3}-\d{3}-\d{4}|\d{3}-\d{4}")
 _FILLER = re.compile(r"[\s.:#=,()-]{0,6}(?:(?:is|no|nr|num|number|numbers|id|reads|card|holder|mrn|the|for|with|as|and|licence|license|medical|record|shows|security|confirmed)\b[\s.:#=,()-]{0,6}){0,4}", re.I)
 #: Words before a number that make it an identifier of a person.
 ID_CUES = (
@@ -92,7 +93,7 @@ def _identifier_by_cue(text: str, end: int, cue: str) -> tuple[int, int] | None:
     """The identifier after a cue that ends at ``end``, with nothing but fillers between."""
     m = _FILLER.match(text, end)
     found = _CUED.match(text, m.end())
-    if found is None or m.end() == end or _other(text, m.end()):
+    if found is None or m.end() == end or _other(text, m.end()) or _LIKE_A_PHONE.fullmatch(found.group()):
         return None
     digits = sum(c.isdigit() for c in found.group())
     if digits < (6 if cue not in ("form", "identity", "insurance", "chart", "social", "driver") else 8):
