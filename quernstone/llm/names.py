@@ -102,13 +102,13 @@ _ORG_SIGNS = frozenset(w for w in ORG_WORDS.values() if w not in ("mount", "nort
 NICKNAMES = {
     "alexander": "alex al sandy", "alexandra": "alex sandra lexi", "alejandro": "alex ale", "amanda": "mandy", "andrew": "andy drew", "anthony": "tony",
     "antonia": "toni", "augustin": "gus", "barbara": "barb", "bartholomew": "bart", "beatrix": "bea trixie", "benjamin": "ben benny",
-    "cassandra": "cass cassie sandra", "catherine": "cathy kate", "charles": "charlie chuck", "christopher": "chris kit", "constance": "connie",
+    "cassandra": "cass cassie sandra", "catherine": "cathy kate", "charles": "charlie chuck", "christopher": "chris kit topher", "constance": "connie",
     "cornelius": "corny neil", "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "dorothy": "dot dottie", "edward": "ed ned ted eddie",
     "elizabeth": "liz beth betty eliza lizzie", "francesca": "fran frankie", "francis": "frank", "frederick": "fred fritz freddie", "gabriela": "gabi gaby",
     "gregory": "greg", "henrietta": "hetty etta", "henry": "hank harry", "isadora": "izzy dora isa", "jacqueline": "jackie", "james": "jim jimmy",
     "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon jonny", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie", "katharina": "kat kathy kate",
     "lawrence": "larry", "leopold": "leo", "ludmila": "mila", "margaret": "maggie meg peggy", "maribel": "mari belle", "matthias": "matt matty", "matthew": "matt",
-    "maximilian": "max", "michael": "mike mick", "nathaniel": "nate nat", "nicholas": "nick", "osvaldo": "ozzie", "patricia": "pat trish patty", "patrick": "pat paddy",
+    "maximilian": "max", "michael": "mike mick", "nathaniel": "nate nat", "nicholas": "nick", "osvaldo": "ozzie waldo", "patricia": "pat trish patty", "patrick": "pat paddy",
     "philip": "phil", "philippa": "pippa", "raymond": "ray", "rebecca": "becca becky", "reginald": "reggie", "richard": "rich rick dick", "robert": "rob bob bobby",
     "ronald": "ron", "samuel": "sam", "stephen": "steve", "susannah": "sue susie", "terrence": "terry", "theodora": "dora thea", "theodore": "ted theo", "thomas": "tom tommy",
     "timothy": "tim", "veronica": "ronnie vera", "victoria": "vicky tori", "wilhelmina": "mina willa", "william": "will bill billy",
@@ -154,7 +154,7 @@ def forms(name: str | None) -> list[str]:
     out: set[str] = set()
     for k, token in enumerate(tokens):
         rest = [*tokens[:k], *tokens[k + 1 :]]
-        firsts = {f[0] for t in rest for f in whole(t)} | set(initials) or set("abcdefghijklmnopqrstuvwxyz")
+        firsts = {f[0] for t in rest for f in (*whole(t), *NICKNAMES.get(t, "").split())} | set(initials) or set("abcdefghijklmnopqrstuvwxyz")
         out |= {f"{t} {c}{c}" for t in whole(token) for c in firsts}
         if any(len(t) <= 4 for t in rest):  # it may be an acronym of an organisation's last words
             out.add(f"{token} **")
