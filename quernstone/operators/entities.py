@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import canonical_name, name_tokens
+from quernstone.operators import nearnames
 from quernstone.session import checkpointed
 
 SIMILARITY = 0.82
@@ -49,35 +49,27 @@ def fuzzy_matches(queries: DataFrame, names: DataFrame, similarity: float = SIMI
 
     Cheap upper bounds of the ratio come first, so that most pairs are never aligned.
     """
+    return _searched(queries, names, similarity, block, None)
+
+
+def closest(queries: DataFrame, names: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """query_id, id, score: of :func:`fuzzy_matches` the best with another id than the query's own, the smallest id of equals.
+
+    Each task keeps two ids a query, as one can be its own, and aligns nothing that can't reach the second.
+    """
+    return best_match(_searched(queries, names, similarity, block, 2).where("query_id != id"))
+
+
+def _searched(queries: DataFrame, names: DataFrame, similarity: float, block: int, best: int | None) -> DataFrame:
     asked = queries.select("id", "name").where("name is not null").orderBy("id")
+    spark = names.sparkSession
+    # few files would be few tasks
+    spread = names.select("id", "name").where("name is not null").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
     result = None
     rows = [(r[0], r[1]) for r in asked.toLocalIterator()]
     for at in range(0, max(1, len(rows)), block):
-        part = [(i, q, frozenset(re.sub("[.,]", " ", q.lower()).split())) for i, q in rows[at : at + block]]
-
-        def run(batches: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
-            prepared = [(i, q, t, " ".join(sorted(t))) for i, q, t in part if t]
-            for pdf in batches:
-                out = []
-                for ident, name in zip(pdf["id"], pdf["name"]):
-                    tokens = frozenset(re.sub("[.,]", " ", (name or "").lower()).split())
-                    if not tokens:
-                        continue
-                    text = " ".join(sorted(tokens))
-                    matcher = difflib.SequenceMatcher(None, "", text)
-                    for i, _, t, q in prepared:
-                        small, large = (t, tokens) if len(t) <= len(tokens) else (tokens, t)
-                        if len(small) >= 2 and small <= large:
-                            out.append((i, ident, 1.0))
-                            continue
-                        if 2 * min(len(q), len(text)) < similarity * (len(q) + len(text)):
-                            continue
-                        matcher.set_seq1(q)
-                        if matcher.quick_ratio() >= similarity and (score := matcher.ratio()) >= similarity:
-                            out.append((i, ident, score))
-                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-        found = names.select("id", "name").mapInPandas(run, "query_id long, id long, score double")
+        run = partial(nearnames.search, rows=rows[at : at + block], similarity=similarity, best=best)
+        found = spread.mapInPandas(run, "query_id long, id long, score double")
         result = found if result is None else result.unionByName(found)
     return result
 
