@@ -4,21 +4,22 @@ A page becomes a sequence of function words and word classes: function words sta
 ``k`` (known from prose), ``u`` (not), ``r`` (said once before in the same line or sentence), ``x`` (said there more often), in capitals where they begin with
 one; numbers, amounts, links, tags and punctuation have classes of their own.
 
-The model is fitted on a sample: about ``SAMPLE_PAGES`` distinct pages, chosen by a hash of their text, which is the only
-bound and is one of training data; every page is scored whole. Words are known if they occur in at least ``LEAST_PAGES``
-prose pages of the sample and there more often than elsewhere. A trigram model over the classes is counted on one half
-of the sample's trusted pages (``Block.trusted``: known words or many numbers, few links, little repetition; so tables, charges, code and
-reference lists are learnt as well as sentences); limits come from the other half: perplexities farther from the median
-than ``MARGIN`` times the quantiles ``LOW`` and ``HIGH`` are abnormal.
+The model is fitted on all distinct pages: a text with many copies counts once, and every page is scored whole. Words are
+known if they occur in at least ``LEAST_PAGES`` prose pages and there more often than elsewhere. A trigram model over the
+classes is counted on all trusted pages (``Block.trusted``: known words or many numbers, few links, little repetition; so
+tables, charges, code and reference lists are learnt as well as sentences). Limits come from all trusted pages too, each scored by the
+model of the half (by a hash of the text) that it isn't in: perplexities farther from the median than ``MARGIN`` times the
+quantiles ``LOW`` and ``HIGH`` are abnormal.
 
 A page is flagged if its perplexity (mean bits per class) is abnormally high and most of its words stand in stretches
 (lines, sentences, ``STRETCH`` tokens where those are long) above the stretch limit, or if it is abnormally low. Nothing
 but the model decides: the rule for trusted pages only chooses what it is trained on.
 
-One pass reads the corpus for the sample, one scores it; counts are combined before any shuffle. Shipped with the tasks are
-the model, bounded by the number of classes (under 250) to the third power and in practice some ten thousand
-trigrams, and the known words, bounded by the sample. Null, blank and punctuation-only texts are never flagged; equal
-pages get equal results; a corpus without trusted pages has no flagged ones.
+The distinct pages are written once and read for words, for trigrams and for limits; one more pass scores the corpus.
+Counts are combined before any shuffle. Shipped with the tasks are the model, bounded by the number of classes (under 250)
+to the third power and in practice some ten thousand trigrams, and the known words, which grow as the vocabulary does.
+Null, blank and punctuation-only texts are never flagged; equal pages get equal results; a corpus without trusted pages
+has no flagged ones.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ from pyspark.sql import functions as F
 from quernstone.llm.lexer import Lexer
 from quernstone.session import checkpointed
 
-#: Distinct pages that the model is fitted on (about).
-SAMPLE_PAGES = 20_000
 LEAST_PAGES = 3
 STRETCH = 40
+#: Steps of a bit in which bits are counted for quantiles.
+STEPS = 4096
 #: Quantiles of trusted pages, and how many times their distance from the median is still normal (at least half the median).
 LOW, HIGH, MARGIN = 0.001, 0.999, 1.4
 #: Quantile of trusted stretches that a stretch of an abnormal page lies above.
@@ -273,15 +274,19 @@ def score_block(block: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return page, block.page[starts], words, bits, block.trusted(classes)
 
 
-def sample_pages(documents: DataFrame, pages: int = SAMPLE_PAGES) -> DataFrame:
-    """text, half (0 or 1): about ``pages`` distinct texts. Copies count once, so that a text with many doesn't fill the sample."""
+def distinct_pages(documents: DataFrame) -> DataFrame:
+    """text, half (0 or 1): every text once, so that one with many copies doesn't count more than others."""
+    return documents.where("text is not null").select("text").distinct().select("text", F.pmod(F.shiftright(F.xxhash64("text"), 40), F.lit(2)).cast("int").alias("half"))
+
+
+def sample_pages(documents: DataFrame, pages: int) -> DataFrame:
+    """About ``pages`` of :func:`distinct_pages`, for trials on a large corpus; no query is fitted on a sample."""
     n = documents.count()
     share = min(1.0, pages / n) if n else 1.0
-    hashed = documents.where("text is not null").select("text", F.xxhash64("text").alias("hash"))
-    return hashed.where(F.pmod("hash", F.lit(1 << 31)) < int(share * (1 << 31))).select("text", F.pmod(F.shiftright("hash", 40), F.lit(2)).cast("int").alias("half")).distinct()
+    return distinct_pages(documents.where(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < int(share * (1 << 31))))
 
 
-def known_words(sample: DataFrame, least_pages: int = LEAST_PAGES) -> list[str]:
+def known_words(corpus: DataFrame, least_pages: int = LEAST_PAGES) -> list[str]:
     """Words that occur in prose pages, at least ``least_pages`` and half of all their pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -307,31 +312,36 @@ def known_words(sample: DataFrame, least_pages: int = LEAST_PAGES) -> list[str]:
                     counts[:] = 0
         yield out()
 
-    counts = sample.select("text").mapInPandas(run, "key string, n long, prose long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
+    counts = corpus.select("text").mapInPandas(run, "key string, n long, prose long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
     return [r[0] for r in counts.where((F.col("prose") >= least_pages) & (2 * F.col("prose") >= F.col("n"))).select("key").collect()]
 
 
-def prose_model(sample: DataFrame, known: frozenset[str]) -> dict[int, int]:
-    """Counts of class trigrams over trusted pages; their number is bounded by the number of classes."""
+def prose_model(corpus: DataFrame, known: frozenset[str]) -> list[dict[int, int]]:
+    """Counts of class trigrams over trusted pages of each half; their number is bounded by the number of classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pages, total = Pages(known), Counter()
         for pdf in batches:
+            halves = pdf["half"].to_numpy("int64")
             for block in pages.blocks(pdf["text"].tolist()):
                 classes = block.classes()
                 two, one = block.histories(classes)
                 learnt = block.trusted(classes)[block.page]
-                keys, n = np.unique(((two * N_CLASSES + one) * N_CLASSES + classes)[learnt], return_counts=True)
+                half = halves[block.rows][block.page]
+                keys, n = np.unique((((half * N_CLASSES + two) * N_CLASSES + one) * N_CLASSES + classes)[learnt], return_counts=True)
                 total.update(dict(zip(keys.tolist(), n.tolist())))
         yield pd.DataFrame({"key": np.array(list(total), "int64"), "n": np.array(list(total.values()), "int64")})
 
-    counts = sample.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in counts.collect()}
+    counts = corpus.mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    halves: list[dict[int, int]] = [{}, {}]
+    for key, n in counts.collect():
+        halves[key // N_CLASSES**3][key % N_CLASSES**3] = n
+    return halves
 
 
 @dataclass
 class Fitted:
-    """What the sample gives: known words, trigram counts, limits of pages (low, high) and of stretches."""
+    """What the pages give: known words, trigram counts, limits of pages (low, high) and of stretches."""
 
     known: frozenset[str]
     counts: dict[int, int]
@@ -340,30 +350,48 @@ class Fitted:
     stretch: float = float("inf")
 
 
-def fit(documents: DataFrame, pages: int = SAMPLE_PAGES) -> Fitted:
-    sample = checkpointed(sample_pages(documents, pages))
-    known = frozenset(known_words(sample))
-    halves = [sample.where(f"half = {h}") for h in (0, 1)]
-    # too few pages for two halves: both steps use all
-    learn, held = halves if min(h.limit(100).count() for h in halves) == 100 else (sample, sample)
-    fitted = Fitted(known, prose_model(learn, known))
+def held_out_bits(corpus: DataFrame, known: frozenset[str], counts: list[dict[int, int]]) -> tuple[dict[int, int], dict[int, int]]:
+    """How many trusted pages, and how many of their stretches, have so many steps of bits; half h by the model of ``counts[h]``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, model = Pages(known), Model(fitted.counts)
+        own, models = Pages(known), [Model(c) for c in counts]
+        total: Counter = Counter()
         for pdf in batches:
-            for block in own.blocks(pdf["text"].tolist()):
-                page, of, words, bits, trusted = score_block(block, model)
-                kept = trusted[of] & (words >= 3)
-                yield pd.DataFrame({"page": np.concatenate((np.ones(trusted.sum(), bool), np.zeros(kept.sum(), bool))), "bits": np.concatenate((page[trusted], bits[kept]))})
-
-    bits = held.select("text").mapInPandas(run, "page boolean, bits double")
-    of_pages = F.percentile_approx(F.when(F.col("page"), F.col("bits")), [LOW, 0.5, HIGH], 100_000)
-    limits = bits.agg(of_pages.alias("p"), F.percentile_approx(F.when(~F.col("page"), F.col("bits")), STRETCH_HIGH, 100_000).alias("s")).first()
-    if limits["p"] and limits["s"] is not None:
-        low, middle, high = limits["p"]
+            for half, model in enumerate(models):
+                for block in own.blocks(pdf.loc[pdf["half"] == half, "text"].tolist()):
+                    page, of, words, bits, trusted = score_block(block, model)
+                    for kind, values in enumerate((page[trusted], bits[trusted[of] & (words >= 3)])):
+                        steps, n = np.unique(np.floor(values * STEPS).astype("int64"), return_counts=True)
+                        total.update(dict(zip(zip([kind] * len(n), steps.tolist()), n.tolist())))
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "step", "n"])
+
+    found: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    for kind, step, n in corpus.mapInPandas(run, "kind int, step long, n long").groupBy("kind", "step").agg(F.sum("n")).collect():
+        found[kind][step] = n
+    return found
+
+
+def quantile(steps: dict[int, int], share: float) -> float:
+    """Bits that at least this share of the values doesn't exceed, to a step."""
+    keys = np.array(sorted(steps))
+    below = np.cumsum([steps[k] for k in keys.tolist()])
+    return float(keys[np.searchsorted(below, share * below[-1])] + 0.5) / STEPS
+
+
+def fit(documents: DataFrame) -> Fitted:
+    corpus = checkpointed(distinct_pages(documents))
+    known = frozenset(known_words(corpus))
+    halves = prose_model(corpus, known)
+    counts = dict(Counter(halves[0]) + Counter(halves[1]))
+    fitted = Fitted(known, counts)
+    # too few pages for two halves: each is scored by the model of all
+    enough = min(corpus.where(f"half = {h}").limit(100).count() for h in (0, 1)) == 100
+    of_pages, of_stretches = held_out_bits(corpus, known, halves[::-1] if enough else [counts, counts])
+    if of_pages and of_stretches:
+        low, middle, high = (quantile(of_pages, share) for share in (LOW, 0.5, HIGH))
         fitted.low = max(0.0, min(middle / 2, middle - MARGIN * (middle - low)))
         fitted.high = max(1.5 * middle, middle + MARGIN * (high - middle))
-        fitted.stretch = limits["s"]
+        fitted.stretch = quantile(of_stretches, STRETCH_HIGH)
     return fitted
 
 
@@ -383,9 +411,9 @@ def score_pages(documents: DataFrame, fitted: Fitted) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words int, bits double, share double")
 
 
-def spam_pages(documents: DataFrame, least_share: float = LEAST_SHARE, pages: int = SAMPLE_PAGES) -> DataFrame:
+def spam_pages(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id of pages whose perplexity is abnormal."""
-    fitted = fit(documents, pages)
+    fitted = fit(documents)
     high = (F.col("bits") > fitted.high) & (F.col("share") > least_share) & (F.col("n_words") > 0)
     low = (F.col("bits") < fitted.low) & (F.col("n_words") >= LEAST_WORDS)
     return score_pages(documents, fitted).where(high | low).select("doc_id")
