@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import canonical_name, name_tokens
@@ -15,6 +17,8 @@ from quernstone.session import checkpointed
 
 SIMILARITY = 0.82
 BLOCK = 5000
+#: Names of a tile's side at most, and at least where there are fewer tiles than tasks.
+TILE, LEAST_TILE = 1 << 16, 1 << 11
 _UNKNOWN = ("", "Unknown")
 
 
@@ -60,6 +64,47 @@ def closest(queries: DataFrame, names: DataFrame, similarity: float = SIMILARITY
     return best_match(_searched(queries, names, similarity, block, 2).where("query_id != id"))
 
 
+def all_closest(names: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """query_id, id, score: what :func:`closest` gives where every name is asked.
+
+    Equal texts and token subsets are joined; a text that has another id by them can't be closer to any. The others are
+    compared with all texts in tiles, a task each.
+    """
+    keyed = names.where("id is not null and name is not null").select(F.col("id").cast("long").alias("id"), "name").mapInPandas(nearnames.as_texts, "id long, text string")
+    own = checkpointed(_two_least(keyed))
+    tokens = own.select("text", "ids", F.split("text", " ").alias("t"))
+    # a subset is found by a pair of its tokens, the longest two as they are rare; pairs are in the order of the text
+    pair = F.array_join(F.array_sort(F.slice(F.reverse(F.array_sort(F.transform("t", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))))["x"], 1, 2)), " ")
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.concat_ws(" ", x, y))))
+    small = tokens.where("size(t) > 1").select(pair.alias("pair"), F.col("text").alias("s"), F.col("ids").alias("s_ids"), F.col("t").alias("st"))
+    large = tokens.where("size(t) > 1").select(F.explode(pairs).alias("pair"), F.col("text").alias("l"), F.col("ids").alias("l_ids"), F.col("t").alias("lt"))
+    within = small.join(large, "pair").where("s != l and size(array_except(st, lt)) = 0")
+    sides = [own.select("text", F.explode("ids").alias("id")), *(within.select(F.col(a).alias("text"), F.explode(f"{b}_ids").alias("id")) for a, b in ("sl", "ls"))]
+    full = checkpointed(_two_least(sides[0].unionByName(sides[1]).unionByName(sides[2])))
+    other = F.when(F.col("ids")[0] != F.col("id"), F.col("ids")[0]).otherwise(F.col("ids")[1])
+    same = keyed.join(full.where("size(ids) > 1"), "text").select(F.col("id").alias("query_id"), other.alias("id"), F.lit(1.0).alias("score"))
+    near = _tiles(full.where("size(ids) = 1"), own, similarity)
+    return best_match(same.unionByName(keyed.withColumnRenamed("id", "query_id").join(near, "text").select("query_id", "id", "score")))
+
+
+def _two_least(rows: DataFrame) -> DataFrame:
+    """text, ids: the two smallest."""
+    ranked = rows.withColumn("nth", F.dense_rank().over(W.partitionBy("text").orderBy("id"))).where("nth <= 2")
+    return ranked.groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def _tiles(asked: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """text, id, score of asked texts, by tile: the best text with another id, by the ratio alone."""
+    size = own.count()
+    n = max(1, math.ceil(size / TILE), min(math.ceil(size / LEAST_TILE), math.ceil(math.sqrt(2 * own.sparkSession.sparkContext.defaultParallelism))))
+    part, each = F.pmod(F.xxhash64("text"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ids = F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("second")
+    sides = [df.select(F.lit(i == 0).alias("asked"), "text", *ids, part.alias("part"), each.alias("each")).withColumn("tile", F.expr(f"{a} * {n} + {b}")).drop("part", "each") for i, (df, a, b) in enumerate(((asked, "part", "each"), (own, "each", "part")))]
+    # as many partitions as stated, or small tiles would be put into one task
+    spread = sides[0].unionByName(sides[1]).repartition(2 * n * n, "tile")
+    return spread.groupBy("tile").applyInPandas(lambda pdf: nearnames.tile(pdf, similarity), "text string, id long, score double")
+
+
 def _searched(queries: DataFrame, names: DataFrame, similarity: float, block: int, best: int | None) -> DataFrame:
     asked = queries.select("id", "name").where("name is not null").orderBy("id")
     spark = names.sparkSession

@@ -6,6 +6,9 @@ For the ratio, bounds that never lie below it come first: letters in common for
 product, then the longest common subsequence in 64-bit words. Only what passes both is aligned.
 
 With ``best`` only that many ids of each stated text are kept, and a pair must reach the last of them.
+
+Where all names are stated, :func:`nearest` compares a tile of them: letters in common are counted in one word a text, and
+of what a text leaves the pairs with the highest bounds are aligned first, until no other can be better.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import pandas as pd
 #: Letters are counted in so many groups, up to so often; names and stated texts compared at once.
 GROUPS, LEVELS = 32, 4
 NAMES, TEXTS, PAIRS = 2048, 1024, 1 << 16
+#: Stated texts and texts of a tile whose words are compared at once.
+ROWS, COLUMNS = 128, 4096
 #: Texts that fit in a word; longer ones are aligned if their letters allow it.
 WORD = 64
 _NEVER = 2.0
@@ -52,6 +57,15 @@ class Letters:
         return out
 
 
+def common(asked: Letters | Asked, u: np.ndarray, j: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """No less than the ratio: that of the longest common subsequence of letter groups; 1 for texts longer than a word."""
+    state = np.full(len(u), ~np.uint64(0))
+    for k in range(min(WORD, int(asked.sizes[u].max(initial=0)))):
+        m = state & places[j, asked.sequence[u, k]]
+        state = (state + m) | (state - m)
+    return np.where((sizes[j] <= WORD) & (asked.sizes[u] <= WORD), 2 * np.bitwise_count(~state) / (asked.sizes[u] + sizes[j]), 1.0)
+
+
 class Asked:
     """Stated names, equal ones together."""
 
@@ -110,7 +124,7 @@ class Asked:
     def close(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
         """(stated text, text, ratio) of pairs that reach the least score, which may rise meanwhile."""
         letters = Letters(texts, GROUPS)
-        places, fits = letters.places(), letters.sizes <= WORD
+        places = letters.places()
         bits = (letters.counts[:, self.feature[:, 0]] > self.feature[:, 1]).astype("float32")
         names = np.concatenate((bits, -letters.sizes[:, None], -np.ones((len(texts), 1))), axis=1, dtype="float32").T
         open_ = np.flatnonzero(self.least <= 1)
@@ -122,15 +136,7 @@ class Asked:
             for k in range(0, len(hits), PAIRS):
                 u, j = np.divmod(hits[k : k + PAIRS], len(texts))
                 u = part[u]
-                yield from self._aligned(u, j, self._common(u, j, places, letters.sizes, fits), texts)
-
-    def _common(self, u: np.ndarray, j: np.ndarray, places: np.ndarray, sizes: np.ndarray, fits: np.ndarray) -> np.ndarray:
-        """No less than the ratio: that of the longest common subsequence of letter groups; 1 for texts longer than a word."""
-        state = np.full(len(u), ~np.uint64(0))
-        for k in range(min(WORD, int(self.sizes[u].max(initial=0)))):
-            m = state & places[j, self.sequence[u, k]]
-            state = (state + m) | (state - m)
-        return np.where(fits[j] & (self.sizes[u] <= WORD), 2 * np.bitwise_count(~state) / (self.sizes[u] + sizes[j]), 1.0)
+                yield from self._aligned(u, j, common(self, u, j, places, letters.sizes), texts)
 
     def _aligned(self, u: np.ndarray, j: np.ndarray, bound: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int, float]]:
         some = np.flatnonzero(bound >= self.least[u] - 1e-9)
@@ -174,3 +180,78 @@ def search(batches: Iterator[pd.DataFrame], rows: list[tuple[int, str]], similar
             yield pd.DataFrame(out, columns=columns)
     if best is not None:
         yield pd.DataFrame([(q, i, -s) for u, kept in enumerate(asked.kept) for s, i in kept for q in asked.ids[u]], columns=columns)
+
+
+def as_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id, text of batches of id, name: the sorted distinct tokens; names without any are left out."""
+    for pdf in batches:
+        out = pd.DataFrame({"id": pdf["id"], "text": [" ".join(sorted(tokens(name))) for name in pdf["name"]]})
+        yield out[out["text"] != ""]
+
+
+def words(asked: Letters, letters: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of both sides, a bit for each of the 64 counts of letters that most texts reach, and how many letters of an asked text have none."""
+    often = (letters.counts[:, :, None] >= np.arange(1, LEVELS + 1)).sum(axis=0).ravel()
+    out = [np.zeros(len(side.sizes), "uint64") for side in (asked, letters)]
+    for bit, feature in enumerate(np.argsort(-often, kind="stable")[:64]):
+        group, level = divmod(int(feature), LEVELS)
+        for word, side in zip(out, (asked, letters)):
+            word |= (side.counts[:, group] > level).astype("uint64") << np.uint64(bit)
+    return *out, asked.sizes - np.bitwise_count(out[0])
+
+
+def nearest(asked: list[str], own: np.ndarray, texts: list[str], ids: np.ndarray, similarity: float) -> Iterator[tuple[str, int, float]]:
+    """(asked text, id, ratio): the best of ``texts`` with another id than ``own``, the smallest id of equals.
+
+    ``ids``: the two smallest of each text, equal where it has one.
+    """
+    by_size = lambda side: np.argsort([len(t) for t in side], kind="stable")
+    rows, columns = by_size(asked), by_size(texts)
+    asked, own, texts, ids = [asked[k] for k in rows], own[rows], [texts[k] for k in columns], ids[columns]
+    a, b = Letters(asked, GROUPS + 1), Letters(texts, GROUPS)
+    mine, theirs, over = words(a, b)
+    places = b.places()
+    edges = np.unique(np.concatenate((np.flatnonzero(np.diff(b.sizes, prepend=-1)), np.arange(0, len(texts), COLUMNS), [len(texts)])))
+    buffers = np.empty(ROWS * COLUMNS, "uint64"), np.empty(ROWS * COLUMNS, "uint8"), np.empty(ROWS * COLUMNS, "bool")
+    for at in range(0, len(asked), ROWS):
+        part = slice(at, at + ROWS)
+        sizes, found = a.sizes[part], []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            size = int(b.sizes[start])
+            like = min(max(size, int(sizes[0])), int(sizes[-1]))  # the asked size that comes nearest
+            if 2 * min(size, like) < similarity * (size + like) - 1e-6:
+                continue
+            shape = len(sizes), stop - start
+            both, count, hit = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in buffers)
+            need = np.clip(np.ceil(similarity * (sizes + size) / 2 - over[part] - 1e-6), 0, 65).astype("uint8")
+            np.bitwise_and(mine[part, None], theirs[None, start:stop], out=both)
+            np.bitwise_count(both, out=count)
+            np.greater_equal(count, need[:, None], out=hit)
+            u, j = np.divmod(np.flatnonzero(hit), shape[1])
+            if len(u):
+                found.append((u + at, j + start))
+        if found:
+            yield from _first(*(np.concatenate(x) for x in zip(*found)), a, b, places, asked, own, texts, ids, similarity)
+
+
+def _first(u: np.ndarray, j: np.ndarray, a: Letters, b: Letters, places: np.ndarray, asked: list[str], own: np.ndarray, texts: list[str], ids: np.ndarray, similarity: float) -> Iterator[tuple[str, int, float]]:
+    """Of pairs the best of each asked text."""
+    bound = np.concatenate([common(a, u[k : k + PAIRS], j[k : k + PAIRS], places, b.sizes) for k in range(0, len(u), PAIRS)])
+    other = np.where(ids[j, 0] != own[u], ids[j, 0], ids[j, 1])
+    some = np.flatnonzero((bound >= similarity - 1e-9) & (other != own[u]))
+    some = some[np.lexsort((other[some], -bound[some], u[some]))]
+    best: dict[int, tuple[float, int]] = {}
+    for x, y, most, i in zip(u[some].tolist(), j[some].tolist(), bound[some].tolist(), other[some].tolist()):
+        if x not in best or (-most, i) < best[x]:
+            score = difflib.SequenceMatcher(None, asked[x], texts[y]).ratio()
+            if score >= similarity:
+                best[x] = min(best.get(x, (0.0, 0)), (-score, i))
+    for x, (score, i) in best.items():
+        yield asked[x], i, -score
+
+
+def tile(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """text, id, score of a tile's asked texts; rows of asked, text, first, second (ids)."""
+    asked, names = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+    found = nearest(asked["text"].tolist(), asked["first"].to_numpy("int64"), names["text"].tolist(), names[["first", "second"]].to_numpy("int64"), similarity) if len(asked) and len(names) else ()
+    return pd.DataFrame(list(found), columns=["text", "id", "score"])

@@ -71,3 +71,32 @@ def test_closest_works_in_many_tasks_whatever_the_files(spark):
     for block in (5000, 11):
         assert {r.query_id: (-r.score, r.id) for r in entities.closest(asked, df, block=block).collect()} == want
     assert entities.closest(asked.limit(0), df).collect() == []
+
+
+def test_every_name_is_asked(spark, tmp_path, monkeypatch):
+    from quernstone.plans import reference
+
+    # an id with two names and one with the same name twice, besides unique ones
+    rows = [*names(240, 5), (7, "Jon Smyth"), (8, "Zoë Müllr-Lüdenscheidt"), (2, "Lopez, Anna")]
+    want = best_of((q, i, s) for q, a in rows if a is not None for i, b in rows if (s := entities.name_score(a, b)) >= 0.82)
+    spark.createDataFrame(rows, "id long, name string").write.parquet(f"{tmp_path}/patients.parquet")
+    got = lambda: {r.query_id: (-r.score, r.id) for r in reference.QUERIES["name_fuzzy_match"](spark, str(tmp_path)).collect()}
+    assert len(want) > 150 and got() == want
+    monkeypatch.setattr(entities, "TILE", 50)
+    assert got() == want
+    assert entities.all_closest(spark.createDataFrame([], "id long, name string")).collect() == []
+
+
+@pytest.mark.parametrize("rows, columns", [(128, 4096), (3, 5)])
+@pytest.mark.parametrize("similarity", [0.6, 0.82, 0.95])
+def test_nearest_finds_the_best_of_every_pair(rows, columns, similarity, monkeypatch):
+    monkeypatch.setattr(nearnames, "ROWS", rows)
+    monkeypatch.setattr(nearnames, "COLUMNS", columns)
+    texts = sorted({" ".join(sorted(nearnames.tokens(name))) for _, name in names(240, 6)} - {""})
+    ids = pd.DataFrame({"first": range(len(texts)), "second": [i + i % 3 for i in range(len(texts))]}).to_numpy()
+    ids[5::7] = 4  # an id with several texts
+    asked = texts[::2]
+    pairs = [(t, int(i), difflib.SequenceMatcher(None, t, u).ratio()) for k, t in enumerate(asked) for u, both in zip(texts, ids) for i in both if i != ids[2 * k, 0]]
+    want = best_of(p for p in pairs if p[2] >= similarity)
+    got = list(nearnames.nearest(asked, ids[::2, 0], texts, ids, similarity))
+    assert len(want) > 20 and {t: (-s, i) for t, i, s in got} == want and len(got) == len(want)
