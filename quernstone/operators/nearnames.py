@@ -212,7 +212,7 @@ def nearest(asked: list[str], own: np.ndarray, texts: list[str], ids: np.ndarray
     mine, theirs, over = words(a, b)
     places = b.places()
     edges = np.unique(np.concatenate((np.flatnonzero(np.diff(b.sizes, prepend=-1)), np.arange(0, len(texts), COLUMNS), [len(texts)])))
-    buffers = np.empty(ROWS * COLUMNS, "uint64"), np.empty(ROWS * COLUMNS, "uint8"), np.empty(ROWS * COLUMNS, "bool")
+    buffers = np.empty(ROWS * COLUMNS, "uint64"), np.empty(ROWS * COLUMNS, "uint8"), np.empty(ROWS * COLUMNS + 8, "bool")
     for at in range(0, len(asked), ROWS):
         part = slice(at, at + ROWS)
         sizes, found = a.sizes[part], []
@@ -227,13 +227,21 @@ def nearest(asked: list[str], own: np.ndarray, texts: list[str], ids: np.ndarray
             np.bitwise_and(mine[part, None], theirs[None, start:stop], out=both)
             np.bitwise_count(both, out=count)
             np.greater_equal(count, need[:, None], out=hit)
-            u, j = np.divmod(np.flatnonzero(hit), shape[1])
+            u, j = np.divmod(_set(buffers[2], hit.size), shape[1])
             if len(u):
                 found.append((u + at, j + start))
         if found:
             yield from _first(*(np.concatenate(x) for x in zip(*found)), a, b, places, asked, own, texts, ids, similarity)
 
 
+def _set(bits: np.ndarray, size: int) -> np.ndarray:
+    """Where the first ``size`` are set: few are, so eight are looked at together."""
+    whole = -(-size // 8) * 8
+    bits[size:whole] = False
+    at = (8 * np.flatnonzero(bits[:whole].view("uint64"))[:, None] + np.arange(8)).ravel()
+    return at[bits[at]]
+
+
 def _first(u: np.ndarray, j: np.ndarray, a: Letters, b: Letters, places: np.ndarray, asked: list[str], own: np.ndarray, texts: list[str], ids: np.ndarray, similarity: float) -> Iterator[tuple[str, int, float]]:
     """Of pairs the best of each asked text."""
     bound = np.concatenate([common(a, u[k : k + PAIRS], j[k : k + PAIRS], places, b.sizes) for k in range(0, len(u), PAIRS)])
